@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lang_id, packing, simhash
+from . import bpe_codec, chat_format, exact_dedup, lang_id, license_scan, multiset_fp, packing, simhash, url_filter
 from .common import table
 
 
@@ -15,10 +15,40 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document that its path names (/language/doc_id)."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    named = F.regexp_extract(url_filter.path_of(F.col("url")), r"^/[a-z]+/(\d+)", 1).try_cast("long")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    outcomes = pages.select("url", named.alias("doc_id")).join(labels, "doc_id").select("url", bad.alias("bad"))
+    return url_filter.judge(pages, outcomes)
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat_format.format_chats(turns).withColumn("turns", chat_format.read_back(F.col("formatted"))).withColumn("learned", chat_format.learned_text(F.col("formatted"), F.col("loss_spans")))
+    digest = F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op6_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_fp.compare(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.encode(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = lang_id.identify(docs.select("doc_id", "text"), lang_id.train(docs))
@@ -36,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_simhash, op9_language_id, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_simhash, op6_multiset_fingerprint, op7_license_scan, op8_bpe_codec, op9_language_id, op10_packing, pipeline)}
 
 
 OP1_SQL = """
