@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, exact_dedup, lang_id, license_scan, multiset_fp, packing, simhash, url_filter
+from . import bpe_codec, chat_format, exact_dedup, lang_id, license_scan, lm_score, multiset_fp, packing, simhash, url_filter
 from .common import table
 
 
@@ -33,6 +33,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled good and not toxic."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return lm_score.score(table(spark, sf_dir, "documents"), labels)
+
+
 def op6_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_fp.compare(table(spark, sf_dir, "documents"))
 
@@ -66,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_simhash, op6_multiset_fingerprint, op7_license_scan, op8_bpe_codec, op9_language_id, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_simhash, op5_lm_score, op6_multiset_fingerprint, op7_license_scan, op8_bpe_codec, op9_language_id, op10_packing, pipeline)}
 
 
 OP1_SQL = """
