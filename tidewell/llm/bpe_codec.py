@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, encoder, read_spec
-from .common import written
+from .common import partitions, written
 
 #: A cut stands after one byte in 2^CUT_BITS.
 CUT_BITS = 10
@@ -171,7 +171,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         return (*digests(enc, names, numbers, ids), ids if with_ids else None)
 
     told_to = told.withColumnRenamed("key", "k")
-    data = narrow.select("text").mapInArrow(packed, "key binary, data binary")
+    # Equal texts from several batches must meet in one partition, whatever kind of join follows.
+    data = narrow.select("text").mapInArrow(packed, "key binary, data binary").repartition(partitions(spark), "key")
     both = data.join(told_to, data["key"] == told_to["k"], "left").select("key", "data", "told").sortWithinPartitions("key")
     made = written(both.mapInArrow(encoded, "kind int, key binary, made binary, needs array<binary>"), "encoded")
     done = made.where("kind = 0").select("key", "made")
