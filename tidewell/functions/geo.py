@@ -33,7 +33,7 @@ def walk_minutes(metres: Column) -> Column:
 def distance_label(metres: Column) -> Column:
     """'550 m' to the nearest ten below a kilometre, else '1.4 km'."""
     near = F.concat((F.round(metres / 10) * 10).cast("long").cast("string"), F.lit(" m"))
-    return F.when(metres < 1000, near).otherwise(F.concat(F.format_number(metres / 1000, "0.0"), F.lit(" km")))
+    return F.when(metres < 1000, near).when(metres >= 1000, F.format_string("%.1f km", metres / 1000))
 
 
 def parse_within(text: Column) -> Column:
