@@ -21,7 +21,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.regexp_extract(url_filter.path_of(F.col("url")), r"^/[a-z]+/(\d+)", 1).try_cast("long")
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     outcomes = pages.select("url", named.alias("doc_id")).join(labels, "doc_id").select("url", bad.alias("bad"))
-    return url_filter.judge(pages, outcomes)
+    # Sums of doubles vary in their last digits; 0.0 + takes a zero's sign away.
+    return url_filter.judge(pages, outcomes).withColumn("bad_bound", F.lit(0.0) + F.round("bad_bound", 6))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +78,86 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP1_SQL = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-g AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
+g AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) AS rn FROM d)
+SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+
+UPPER_LOWER = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
+
+
+def _rules_sql() -> str:
+    rows = ", ".join(f"('{act}', '{h}', '{p}')" for act, h, p in url_filter.RULES)
+    return f"""
+r AS (SELECT action, host AS h, path AS p FROM (VALUES {rows}) t(action, host, path)),
+fits AS (SELECT page_id, host, path, h || p AS rule, action FROM urls, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+longest AS (SELECT DISTINCT ON (page_id, host, path) page_id, host, path, rule, action FROM fits ORDER BY page_id, host, path, length(rule) DESC, rule)"""
+
+
+def _shrunk_sql(level: str, above: str, on: str) -> str:
+    """Posteriors a, b of a level under priors centred on the level above, by the method of moments."""
+    w1, w2 = url_filter.WEIGHTS
+    return f"""
+{level}_m AS (SELECT l.*, u.a / (u.a + u.b) AS m FROM {level} l JOIN {above} u ON {on}),
+{level}_s AS (SELECT sum((k - n * m) * (k - n * m) - n * m * (1 - m)) AS spread, sum(n * (n - 1) * m * (1 - m)) AS room FROM {level}_m),
+{level}_w AS (SELECT CASE WHEN room > 0 AND spread > 0 THEN greatest({w1}, least({w2}, room / spread - 1)) ELSE {w2} END AS w FROM {level}_s),
+{level}_p AS (SELECT {level}_m.*, m * w + k AS a, (1 - m) * w + n - k AS b FROM {level}_m, {level}_w)"""
+
+
+_HOST = f"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {UPPER_LOWER})"
+_PATH = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_DOMAIN, _SUFFIX = "regexp_extract(host, '(?:[^.]*[.])?[^.]*$')", "regexp_extract(host, '[^.]*$')"
+
+OP2_SQL = f"""
+WITH urls AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+outcomes AS (SELECT host, quality = 0 OR toxic = 1 AS bad FROM urls JOIN labels ON TRY_CAST(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) AS BIGINT) = doc_id),
+h AS (SELECT host, {_DOMAIN} AS domain, {_SUFFIX} AS suffix, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE bad) AS DOUBLE) AS k FROM outcomes WHERE bad IS NOT NULL GROUP BY host),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY 1, 2),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY 1),
+every AS (SELECT coalesce(sum(k), 0) + 0.5 AS a, coalesce(sum(n), 0) - coalesce(sum(k), 0) + 0.5 AS b FROM s),
+{_shrunk_sql("s", "every", "true")}, {_shrunk_sql("d", "s_p", "l.suffix = u.suffix")}, {_shrunk_sql("h", "d_p", "l.domain = u.domain")},
+names AS (SELECT DISTINCT host, {_DOMAIN} AS domain, {_SUFFIX} AS suffix FROM urls),
+post AS (SELECT names.host, coalesce(h_p.a, d_p.a, s_p.a, every.a) AS a, coalesce(h_p.b, d_p.b, s_p.b, every.b) AS b
+  FROM names LEFT JOIN h_p ON h_p.host = names.host LEFT JOIN d_p ON d_p.domain = names.domain LEFT JOIN s_p ON s_p.suffix = names.suffix, every),
+bounds AS (SELECT host, a / (a + b) - {url_filter.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM post),{_rules_sql()}
+SELECT u.page_id, u.host, u.path, l.rule, coalesce(l.action, CASE WHEN bound > {url_filter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, 0.0 + round(bound, 6) AS bad_bound
+FROM urls u JOIN bounds ON bounds.host = u.host LEFT JOIN longest l ON l.page_id IS NOT DISTINCT FROM u.page_id AND l.host = u.host AND l.path = u.path
+"""
+
+_HEADS = len(chat_format.OPEN + chat_format.ROLE + chat_format.END_ROLE + chat_format.CLOSE)
+_ESCAPED = "regexp_replace({c}, '([<\\[])(~*)" + chat_format.CONTROL + "', '\\1~\\2\\3', 'g')"
+
+OP3_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v),
+e AS (SELECT *, {_ESCAPED.format(c="role")} AS r, {_ESCAPED.format(c="text")} AS t FROM c),
+o AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w IS DISTINCT FROM role AS fresh FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = '{chat_format.LEARNED}'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = '{chat_format.LEARNED}'), '')) AS loss_sha256,
+  CAST(sum(length(t) + CASE WHEN fresh THEN length(r) + {_HEADS} ELSE {len(chat_format.SEP)} END) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+
+def _license_sql() -> str:
+    """Every place of every phrase, and every line against every template."""
+    words = "regexp_extract_all({c}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    places = " UNION ALL ".join(f"SELECT doc_id, pos, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"coalesce(w[i + {k}] = '{x}', false)" for k, x in enumerate(license_scan.words_of(phrase))) + ")) - 1 AS start FROM d" for phrase, label in license_scan.PHRASES.items())
+    templates = ", ".join(f"('{label}', {sorted(set(license_scan.words_of(text)))})" for label, texts in license_scan.TEMPLATES.items() for text in texts)
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS pos, translate(coalesce(text, ''), {UPPER_LOWER}) AS t, {words.format(c=f"translate(coalesce(text, ''), {UPPER_LOWER})")} AS w FROM documents),
+places AS ({places}),
+base AS (SELECT doc_id, pos, count(*) AS n, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY 1, 2),
+lines AS (SELECT doc_id, pos, list_distinct({words.format(c="line")}) AS w FROM (SELECT doc_id, pos, unnest(string_split(t, chr(10))) AS line FROM d)),
+templates AS (SELECT * FROM (VALUES {templates}) v(label, words)),
+found AS (SELECT doc_id, pos, label, len(list_intersect(lines.w, words)) / CAST(len(words) AS DOUBLE) AS share FROM lines, templates WHERE len(list_intersect(lines.w, words)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9)),
+more AS (SELECT doc_id, pos, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY 1, 2)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(base.n, 0) AS n_base, base.first_word, base.last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels, CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(more.share, 0.0) END AS score
+FROM d LEFT JOIN base ON base.pos = d.pos LEFT JOIN more ON more.pos = d.pos
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op7_license_scan": _license_sql()}
