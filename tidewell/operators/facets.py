@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rank
+
 
 def all_of(filters: dict[str, Column], skip: str | None = None) -> Column:
     """All predicates but the skipped one; null counts as false."""
@@ -57,9 +59,17 @@ def histogram(df: DataFrame, col: str) -> DataFrame:
 
 
 def collected(df: DataFrame, by: list[str], key: str, most: int | None = None) -> DataFrame:
-    """Each group's keys in order, and how many there are; `most` cuts the list, not the count."""
-    ids = F.array_sort(F.collect_list(key))
-    return df.groupBy(*by).agg((F.slice(ids, 1, most) if most else ids).alias("ids"), F.count(key).alias("n"))
+    """Each group's keys in order, and how many there are. `most` cuts the list, not the count: then a group is ranked
+    in its tasks first, and no more than its first keys are gathered."""
+    ids = F.array_sort(F.collect_list(key)).alias("ids")
+    if not most:
+        return df.groupBy(*by).agg(ids, F.count(key).alias("n"))
+    first = rank.first_n(df.where(F.col(key).isNotNull()), by, [F.asc(key)], most).groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(ids)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    counts = df.groupBy(*by).agg(F.count(key).alias("n"))
+    return counts.join(first, same, "left").select(*by, F.coalesce("ids", F.array()).alias("ids"), "n")
 
 
 def extent(df: DataFrame, lat: str, lng: str) -> DataFrame:

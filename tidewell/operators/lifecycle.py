@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .facets import collected
 from .rank import first_n, top_k
 
 
 def absent(rows: DataFrame, source: list[str], key: str, last_seen: str, now: Column, grace_days: int, most: int = 50) -> DataFrame:
     """By source the rows not seen for longer than the grace: how many, and the first `most` keys."""
     gone = rows.where(F.col(last_seen) < F.timestamp_add("DAY", F.lit(-grace_days), now))
-    return gone.groupBy(*source).agg(F.count("*").alias("absent"), F.slice(F.array_sort(F.collect_list(key)), 1, most).alias("ids"))
+    return collected(gone, source, key, most).withColumnRenamed("n", "absent").select(*source, "absent", "ids")
 
 
 def reconcile(picks: DataFrame, absent_ids: DataFrame, now: Column, enforce: bool) -> DataFrame:
