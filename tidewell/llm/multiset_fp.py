@@ -22,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,9 +108,13 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = partitions(spark)
-    bounds = sorted(set(rows.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n)))
-    part = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)).cast("array<double>"), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
-    rows = rows.withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(part))
+    bounds = np.array(sorted(set(rows.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n))), np.float64)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.float64), side="right").astype(np.int32))
+
+    rows = rows.withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(range_of("id")))
     firsts = rows.groupBy("part").agg(F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("none")).orderBy("part").collect()  # one row a range
     if not firsts:
         firsts = [None]
