@@ -11,12 +11,13 @@ Cases: null texts and roles count as empty. Turns with equal numbers are ordered
 come first. Repeated rows are turns of their own. Rows with a null conversation id form one conversation. An empty
 table gives an empty result. Extra columns are dropped.
 
-Scale: a conversation is one row by nature, as its format and digest are; conversations are spread by id, and nothing
-is gathered beyond one conversation."""
+Scale: a conversation is one row by nature, as its format and digest are; conversations are spread by id in one shuffle,
+and nothing is gathered beyond one conversation. Work grows in proportion to its turns: offsets are running sums, blocks
+are slices between the places where the role changes, and no array is copied turn by turn."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, ROLE, END_ROLE, SEP, CLOSE = "<s>", "[ROLE]", "[/ROLE]", "[SEP]", "</s>"
@@ -35,37 +36,24 @@ def unescape(text: Column) -> Column:
 def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learned: str = LEARNED) -> DataFrame:
     """One row a conversation: id, formatted, loss_spans (array of start, length; starts count from 1)."""
     role, text = (escape(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in (role_col, text_col))
-    rows = turns.select(F.col(id_col).alias("id"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
-    sorted_ = rows.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    kind = "array<struct<role:string,texts:array<string>>>"
-
-    def merge(blocks: Column, t: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        grown = F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))))
-        fresh = F.concat(blocks, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))))
-        return F.when((F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == t["role"]), grown).otherwise(fresh)
-
-    # element_at fails on an empty array, even in a branch that isn't taken: the first turn is the start.
-    head = F.element_at("turns", 1)
-    start = F.array(F.struct(head["role"].alias("role"), F.array(head["text"]).alias("texts"))).cast(kind)
-    blocks = sorted_.select("id", F.aggregate(F.slice("turns", F.lit(2), F.size("turns")), start, merge).alias("blocks"))
-    shown = lambda b: F.concat(F.lit(OPEN + ROLE), b["role"], F.lit(END_ROLE), F.array_join(b["texts"], SEP), F.lit(CLOSE))
-    ahead = lambda b: F.length(b["role"]) + len(OPEN + ROLE + END_ROLE)
-    # Spans: each text's length and what stands before it since the last text's end, then a running sum.
-    step = lambda skip, n, learn: F.struct(skip.cast("int").alias("skip"), n.cast("int").alias("n"), learn.alias("learn"))
-    parts = lambda b: F.concat(
-        F.transform(b["texts"], lambda t, i: step(F.when(i == 0, ahead(b)).otherwise(len(SEP)), F.length(t), b["role"] == learned)),
-        F.array(step(F.lit(len(CLOSE)), F.lit(0), F.lit(False))),
-    )
-    steps = F.flatten(F.transform("blocks", parts))
-    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def walk(acc: Column, s: Column) -> Column:
-        begin = acc["at"] + s["skip"]
-        span = F.array(F.struct(begin.alias("start"), s["n"].alias("length")))
-        return F.struct((begin + s["n"]).alias("at"), F.when(s["learn"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return blocks.select(F.col("id").alias(id_col), F.array_join(F.transform("blocks", shown), "").alias("formatted"), F.aggregate(steps, zero, walk)["spans"].alias("loss_spans"))
+    rows = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
+    # Where a text starts: what all turns up to it take, in the order in which they are merged below.
+    w = Window.partitionBy("id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    before, head = F.lag("role").over(w), F.length("role") + len(OPEN + ROLE + END_ROLE)
+    ahead = F.when(before.isNull(), head).when(before != F.col("role"), head + len(CLOSE)).otherwise(len(SEP))
+    ends = F.sum(ahead + F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumn("start", (ends - F.length("text") + 1).cast("int"))
+    sorted_ = placed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "start"))).alias("turns"))
+    at = lambda i: F.get("turns", i)
+    firsts = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (at(i)["role"] != at(i - 1)["role"]))
+    merged = sorted_.select("id", "turns", firsts.alias("firsts"))
+
+    def block(first: Column, k: Column) -> Column:
+        own = F.slice("turns", first + 1, F.coalesce(F.get("firsts", k + 1), F.size("turns")) - first)
+        return F.concat(F.lit(OPEN + ROLE), at(first)["role"], F.lit(END_ROLE), F.array_join(F.transform(own, lambda t: t["text"]), SEP), F.lit(CLOSE))
+
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == learned), lambda t: F.struct(t["start"].alias("start"), F.length(t["text"]).alias("length")))
+    return merged.select(F.col("id").alias(id_col), F.array_join(F.transform("firsts", block), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -83,4 +71,9 @@ def read_back(formatted: Column) -> Column:
 
 def learned_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"], s["length"]))), "")
+    # Four bytes a code point: a span is reached without walking over what stands before it. The sign ahead of each
+    # keeps a byte order mark from being taken for one.
+    sign = F.lit(bytearray(b"\0\0\0|"))
+    part = lambda u, s: F.decode(F.concat(sign, F.substring(u, s["start"] * 4 - 3, s["length"] * 4)), "UTF-32")
+    whole = lambda u: F.array_join(F.transform(spans, lambda s: unescape(F.substring(part(u, s), F.lit(2), s["length"]))), "")
+    return F.get(F.transform(F.array(F.encode(formatted, "UTF-32")), whole), F.lit(0))
