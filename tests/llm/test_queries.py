@@ -45,26 +45,24 @@ def test_op5(spark, docs):
     good = {r.doc_id for r in table(spark, DIR, "labels").collect() if r.quality == 1 and r.toxic == 0}
     words = {r.doc_id: lm_score.words_of(r.text) for r in docs}
     counted = Counter(w for ws in words.values() for w in ws)
-    kept = set(sorted(counted, key=lambda w: (-counted[w], w))[: lm_score.VOCABULARY - lm_score.FIRST])
-    laid = {i: ["<s>", *(w if w in kept else "<unk>" for w in ws)] for i, ws in words.items()}
+    ids = {w: i + lm_score.FIRST for i, w in enumerate(sorted(counted, key=lambda w: (-counted[w], w))[: lm_score.VOCABULARY - lm_score.FIRST])}
+    laid = {i: [lm_score.START, *(ids.get(w, lm_score.UNKNOWN) for w in ws)] for i, ws in words.items()}
+    # Bigrams in one cell of the table share their count.
+    cells = {i: lm_score.cell(np.array(w[:-1]), np.array(w[1:])).tolist() if len(w) > 1 else [] for i, w in laid.items()}
     models = []
     for chosen in (good, laid.keys()):
         uni, bi = Counter(), Counter()
         for i in chosen & laid.keys():
-            uni.update(laid[i]), bi.update(zip(laid[i], laid[i][1:]))
-        models.append((uni, bi, sum(n for w, n in uni.items() if w != "<s>")))
+            uni.update(laid[i]), bi.update(cells[i])
+        models.append((uni, bi, sum(n for w, n in uni.items() if w != lm_score.START)))
     got = run(spark, "op5_lm_score")
     assert len(got) == len(docs)
-    off = []
     for r in got:
         w = laid[r.doc_id]
         assert r.n_tokens == len(w) - 1
         if len(w) > 1:
-            loss = [-sum(math.log((bi[a, b] + lm_score.MU * (uni[b] + 1) / (n + lm_score.VOCABULARY)) / (uni[a] + lm_score.MU)) for a, b in zip(w, w[1:])) / (len(w) - 1) for uni, bi, n in models]
-            assert (r.target_loss, r.background_loss) == pytest.approx(loss, abs=0.05)
-            off.append(abs(r.score - (loss[0] - loss[1])))
-    # Bigrams that share a cell differ a little from plain counts.
-    assert np.mean(off) < 0.01 and max(off) < 0.1
+            loss = [-sum(math.log((min(bi[c], uni[a]) + lm_score.MU * (uni[b] + 1) / (n + lm_score.VOCABULARY)) / (uni[a] + lm_score.MU)) for a, b, c in zip(w, w[1:], cells[r.doc_id])) / (len(w) - 1) for uni, bi, n in models]
+            assert (r.target_loss, r.background_loss) == pytest.approx(loss, rel=1e-5) and r.score == pytest.approx(loss[0] - loss[1], abs=1e-4)
     of = lambda ids: np.mean([r.score for r in got if r.doc_id in ids])
     assert of(good) < of(laid.keys() - good)
 
