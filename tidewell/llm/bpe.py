@@ -15,7 +15,8 @@ PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 #: The vocabulary file's pattern, for lower-cased text of PLAIN.
 LETTER = "a-zß-öø-ÿ"
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s{LETTER}0-9]+")
-CACHED = 400_000
+#: Pieces that a worker remembers; beyond that it starts anew.
+CACHED = 150_000
 
 
 def byte_signs() -> list[str]:

@@ -108,7 +108,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     # Which chunks occur more than once, and who owns them. A text that comes again counts once.
     texts = marked.where(F.size("chunks") > 0).groupBy("key").agg(F.first("chunks").alias("chunks"))
     places = written(texts.select("key", F.posexplode("chunks").alias("pos", "chunk")), "chunk-places")
-    shared = places.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("owner")).where("n > 1").select("chunk", "owner")
+    # Written, so that the join after it can split a chunk that many documents share.
+    shared = written(places.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("owner")).where("n > 1").select("chunk", "owner"), "chunk-owners")
     told = places.join(shared, "chunk").select("key", F.struct("pos", "chunk", ((F.col("owner.key") == F.col("key")) & (F.col("owner.pos") == F.col("pos"))).alias("own")).alias("told"))
     told = told.groupBy("key").agg(F.collect_list("told").alias("told"))  # a document's own chunks
 
@@ -134,7 +135,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                     continue
                 last, data = key, unzip.decompress(data)
                 if not told_:
-                    rows.append((0, key, pickle.dumps(finished(enc, names, numbers, enc.encode(data.decode()))), []))
+                    rows.append((0, key, None, None, *finished(enc, names, numbers, enc.encode(data.decode()))))
                 else:
                     ends, at = cuts(data), 0
                     units, needs = [], []
@@ -145,7 +146,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                             units.append(unit(enc, data[at:a]))
                         if t["own"]:
                             units.append(unit(enc, data[a:b]))
-                            rows.append((2, t["chunk"], pickle.dumps(units[-1]), []))
+                            rows.append((2, t["chunk"], pickle.dumps(units[-1]), None, *nothing))
                         else:
                             units.append(t["chunk"])
                             needs.append(t["chunk"])
@@ -153,19 +154,22 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                     if at < len(data):
                         units.append(unit(enc, data[at:]))
                     if needs:
-                        rows.append((1, key, pickle.dumps(units), list(dict.fromkeys(needs))))
+                        rows.append((1, key, pickle.dumps(units), list(dict.fromkeys(needs)), *nothing))
                     else:
-                        rows.append((0, key, pickle.dumps(finished(enc, names, numbers, joined(enc, units))), []))
-                size += len(rows[-1][2])
+                        rows.append((0, key, None, None, *finished(enc, names, numbers, joined(enc, units))))
+                size += len(data)
                 if size > 16 << 20:
                     yield table_of(rows)
                     rows, size = [], 0
             if rows:
                 yield table_of(rows)
 
+    result = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.binary()}
+    result_schema, nothing = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary", (None,) * 4
+
     def table_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "key", "made", "needs"])
+        kinds = {"kind": pa.int32(), "key": pa.binary(), "made": pa.binary(), "needs": pa.list_(pa.binary())} | result
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
     def finished(enc: Encoder, names: list[str], numbers: list[str], ids: bytes) -> tuple:
         return (*digests(enc, names, numbers, ids), ids if with_ids else None)
@@ -174,8 +178,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     # Equal texts from several batches must meet in one partition, whatever kind of join follows.
     data = narrow.select("text").mapInArrow(packed, "key binary, data binary").repartition(partitions(spark), "key")
     both = data.join(told_to, data["key"] == told_to["k"], "left").select("key", "data", "told").sortWithinPartitions("key")
-    made = written(both.mapInArrow(encoded, "kind int, key binary, made binary, needs array<binary>"), "encoded")
-    done = made.where("kind = 0").select("key", "made")
+    made = written(both.mapInArrow(encoded, f"kind int, key binary, made binary, needs array<binary>, {result_schema}"), "encoded")
+    done = made.where("kind = 0").select("key", *result)
     waiting, chunks = made.where("kind = 1"), made.where("kind = 2").select(F.col("key").alias("chunk"), F.col("made").alias("unit"))
     fetched = waiting.select("key", F.explode("needs").alias("chunk")).join(chunks, "chunk").groupBy("key").agg(F.collect_list(F.struct("chunk", "unit")).alias("got"))
 
@@ -186,18 +190,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             out = []
             for units, got in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 sent = {g["chunk"]: pickle.loads(g["unit"]) for g in got}
-                out.append(pickle.dumps(finished(enc, names, numbers, joined(enc, [sent[u] if isinstance(u, bytes) else u for u in pickle.loads(units)]))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "made"])
-
-    repaired = waiting.select("key", "made").join(fetched, "key").mapInArrow(put_together, "key binary, made binary")
-
-    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.binary())
-        for batch in batches:
-            got = [pickle.loads(x) for x in batch.column(1).to_pylist()]
-            cols = [pa.array(list(c), k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)] if got else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+                out.append(finished(enc, names, numbers, joined(enc, [sent[u] if isinstance(u, bytes) else u for u in pickle.loads(units)])))
+            cols = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, result.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["key", *result])
 
-    results = done.unionByName(repaired).mapInArrow(shown, "key binary, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    repaired = waiting.select("key", "made").join(fetched, "key").mapInArrow(put_together, f"key binary, {result_schema}")
+    results = done.unionByName(repaired)
     columns = [F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     return marked.select("id", "key").join(results, "key").select(*columns)
