@@ -10,7 +10,8 @@ from the number of fingerprints (few long segments for many fingerprints): it ch
 
 Groups of copies: equal fingerprints are one row from the start. Before the search, neighbours in each table's sorted
 order are linked in chains and their components found; the search then keeps links between different components only.
-So a large group of near copies does not put out its pairs, and no link that matters is lost.
+So a large group of near copies does not put out its pairs, and no link that matters is lost. However many near copies a
+text has, under 700,000 fingerprints lie within 4 bits of its own, so they don't fill a table's key beyond that.
 
 Cases: null counts as empty; a text without words has fingerprint zero and is linked like any other; with fewer words
 than a shingle, the whole sequence is the shingle. Rows with null ids get components too, but name one only if no other
@@ -67,9 +68,10 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
 
 
 def segments(n: int, radius: int = RADIUS) -> list[tuple[int, int, int]]:
-    """(first bit, width, radius) of each segment, for n fingerprints: the cheapest of 2 to 6 segments, by the rows
-    that probe and the rows expected to match. If q * m + r is the radius, the first r + 1 of m segments are searched
-    to radius q and the rest to q - 1: were all beyond, the distances would add up to more than the radius."""
+    """(first bit, width, radius) of each segment, for n fingerprints: the cheapest number of segments up to the radius
+    (with more of them no ball would hold more than its centre), by the rows that probe and the rows expected to match.
+    If q * m + r is the radius, the first r + 1 of m segments are searched to radius q and the rest to q - 1: were all
+    beyond, the distances would add up to more than the radius."""
     from math import comb
 
     def plan(m: int) -> list[tuple[int, int, int]]:
@@ -80,7 +82,7 @@ def segments(n: int, radius: int = RADIUS) -> list[tuple[int, int, int]]:
     def cost(p: list[tuple[int, int, int]]) -> float:
         return sum(sum(comb(w, k) for k in range(r + 1)) * (n + n * n / 2.0**w / 8) for _, w, r in p)
 
-    return min((plan(m) for m in range(2, 7)), key=cost)
+    return min((plan(m) for m in range(2, max(3, radius + 1))), key=cost)
 
 
 def ball(width: int, radius: int) -> list[int]:
