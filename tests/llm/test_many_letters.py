@@ -1,0 +1,26 @@
+import random
+
+import numpy as np
+
+from tidewell.llm import lang_id
+
+
+def test_every_sampled_letter_has_its_own_code():
+    r = random.Random(1)
+    alphabets = {"el": "αβγδεζηθικλμ", "ko": [chr(0xAC00 + i) for i in range(900)], "zh": [chr(0x4E00 + i) for i in range(900)], "th": [chr(0x0E01 + i) for i in range(40)], "xx": [chr(c) for c in range(0x61, 0x250) if chr(c).isalpha() and chr(c).lower() == chr(c)]}
+    text = lambda lang, n: "".join(r.choices(alphabets[lang], k=n))
+    model = lang_id.fit([(lang, text(lang, 5000)) for lang in alphabets])
+    seen = [c for letters in alphabets.values() for c in letters if model.codes[ord(c)] > lang_id.STRANGE]
+    assert len(seen) > 1000 and len({int(model.codes[ord(c)]) for c in seen}) == len(seen)
+    langs, scores = lang_id.predict(model, [text(lang, 300) for lang in alphabets])
+    assert langs == list(alphabets) and min(scores) > 0
+
+
+def test_every_transition_is_found():
+    r = np.random.default_rng(2)
+    keys = np.unique(r.integers(0, 2**40, 5000, np.uint64))
+    table, states, probes = lang_id.hashed(keys, np.arange(len(keys), dtype=np.int32))
+    model = lang_id.Model([], np.zeros(0, np.int32), np.zeros((0, 0), np.int32), table, states, probes, np.zeros(0, np.uint8))
+    ask = np.concatenate([keys, keys + np.uint64(2**41)])
+    got = lang_id.follow(model, (ask >> np.uint64(32))[None, :], ask & np.uint64(2**32 - 1))
+    assert got[0].tolist() == [*range(len(keys)), *[-1] * len(keys)]

@@ -4,9 +4,10 @@ A suffix automaton of some labelled text of each language holds all its substrin
 the longest phrases that a language's automaton knows; in its own language a text needs the fewest phrases.
 
 The labelled text is a bounded sample: of each language `docs_per_lang` documents (those with the smallest hashed id)
-and `chars_per_doc` characters from the middle of each; everything else reads whole texts. The automata become one
-table of transitions, whose size that bound fixes, and workers parse many blocks of `BLOCK` characters in step
-(phrases end where a block ends, for every language alike).
+and `chars_per_doc` characters from the middle of each; everything else reads whole texts. Every letter of the sample
+has a code of its own, however many there are. The automata's transitions become one hash table, whose size follows
+from the sample and not from the alphabet, and workers parse many blocks of `BLOCK` characters in step (phrases end
+where a block ends, for every language alike).
 
 Cases: a null text or one with no letter is `und` with score 0, and so is everything if no labelled text was found.
 Ties go to the language that sorts first. Rows with a null id are never learned from (their remainder is unknown) and
@@ -28,6 +29,7 @@ BLOCK = 128
 DOCS_PER_LANG, CHARS_PER_DOC = 32, 768
 #: Codes of characters: a gap stands for everything that isn't a letter, STRANGE for letters not in the sample, PAD after a text's end.
 PAD, GAP, STRANGE, FIRST = 0, 1, 2, 3
+EMPTY = 2**64 - 1
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -38,8 +40,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 @dataclass
 class Model:
     langs: list[str]
-    roots: np.ndarray  # row of each language's start state
-    moves: np.ndarray  # [state, code] -> next state * 2 + (1 if a phrase ends here)
+    roots: np.ndarray  # each language's start state
+    first: np.ndarray  # [language, code] -> state in which a phrase that starts with the code is; or the start state
+    keys: np.ndarray  # hash table: state << 32 | code, or EMPTY
+    states: np.ndarray  # the next state of each key
+    probes: int  # places of the table within which every key stands
     codes: np.ndarray  # code point -> code
 
 
@@ -73,54 +78,95 @@ class Automaton:
 def fit(samples: list[tuple[str, str]]) -> Model:
     """samples: (language, text)."""
     langs = sorted({lang for lang, _ in samples})
-    letters = sorted({c for _, text in samples for c in text.lower() if c.isalpha()})[:250]
-    codes = np.full(0x110000, GAP, np.uint8)
+    letters = sorted({c for _, text in samples for c in text.lower() if c.isalpha()})
+    width = FIRST + len(letters)
+    codes = np.full(0x110000, GAP, np.min_scalar_type(width))
     for block in range(0, 0x110000, 0x1000):
         codes[block : block + 0x1000] = [STRANGE if chr(c).isalpha() else GAP for c in range(block, block + 0x1000)]
     for i, c in enumerate(letters):
         codes[ord(c)] = FIRST + i
-    width = FIRST + len(letters)
-    tables, roots, base = [], [], 0
+    keys, states, firsts, roots, base = [], [], [], [], 0
     for lang in langs:
         own = Automaton()
         for _, text in sorted(x for x in samples if x[0] == lang):
             for c in coded(codes, text).tolist():
                 own.add(c)
             own.last = 0  # the next sample starts anew: no phrase runs over the join
-        n = len(own.next)
-        t = np.empty((n, width), np.int32)
         first = np.full(width, base, np.int32)
         for c, s in own.next[0].items():
             first[c] = base + s
-        t[:] = first * 2 + 1
         for s, go in enumerate(own.next):
-            for c, to in go.items():
-                t[s, c] = (base + to) * 2
-        t[:, PAD] = (base + np.arange(n)) * 2
-        tables.append(t), roots.append(base)
-        base += n
-    return Model(langs, np.array(roots, np.int32), np.concatenate(tables) if tables else np.zeros((0, width), np.int32), codes)
+            keys += [(base + s) << 32 | c for c in go]
+            states += [base + to for to in go.values()]
+        firsts.append(first), roots.append(base)
+        base += len(own.next)
+    table, places, probes = hashed(np.array(keys, np.uint64), np.array(states, np.int32))
+    return Model(langs, np.array(roots, np.int32), np.array(firsts, np.int32).reshape(len(langs), width), table, places, probes, codes)
+
+
+def place(keys: np.ndarray, size: int) -> np.ndarray:
+    """Where in a table of `size` places, a power of two, a key stands or the search for it starts."""
+    h = keys * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.int64) & (size - 1)
+
+
+def hashed(keys: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(keys, states, probes) of an open hash table with at most a quarter of its places in use."""
+    size = 1 << max(4, (4 * len(keys) - 1).bit_length())
+    table, values = np.full(size, EMPTY, np.uint64), np.zeros(size, np.int32)
+    at, left, probes = place(keys, size), np.arange(len(keys)), 1
+    while len(left):
+        free = left[table[at[left]] == EMPTY]
+        table[at[free]] = keys[free]  # of those that meet in one place, the last one stays
+        left = left[table[at[left]] != keys[left]]
+        at[left] = (at[left] + 1) & (size - 1)
+        probes += len(left) > 0
+    at = place(keys, size)
+    for _ in range(probes):
+        here = table[at] == keys
+        values[at[here]] = states[here]
+        at = np.where(here, at, (at + 1) & (size - 1))
+    return table, values, probes
 
 
 def coded(codes: np.ndarray, text: str) -> np.ndarray:
     return codes[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
 
 
+def follow(model: Model, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The states after the codes c, or -1 where a phrase can't go on."""
+    want = (state.astype(np.uint64) << np.uint64(32) | c.astype(np.uint64)).reshape(-1)
+    size = len(model.keys)
+    at = place(want, size)
+    found = model.keys[at]
+    to = np.where(found == want, model.states[at], np.int32(-1))
+    left = np.flatnonzero((found != want) & (found != EMPTY))
+    for _ in range(1, model.probes):
+        if not len(left):
+            break
+        at[left] = (at[left] + 1) & (size - 1)
+        found = model.keys[at[left]]
+        hit = found == want[left]
+        to[left[hit]] = model.states[at[left[hit]]]
+        left = left[~hit & (found != EMPTY)]
+    return to.reshape(state.shape)
+
+
 def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """[text, language]: how many phrases each text takes. Texts are coded and not empty."""
     blocks = [-(-len(t) // BLOCK) for t in texts]
-    laid = np.zeros(sum(blocks) * BLOCK, np.uint8)
+    laid = np.zeros(sum(blocks) * BLOCK, model.codes.dtype)
     starts = np.concatenate([[0], np.cumsum(blocks)])[:-1]
     for t, b in zip(texts, starts, strict=True):
         laid[b * BLOCK : b * BLOCK + len(t)] = t
     steps = np.ascontiguousarray(laid.reshape(-1, BLOCK).T)
-    flat, width = model.moves.reshape(-1), model.moves.shape[1]
     state = np.repeat(model.roots[:, None], steps.shape[1], axis=1)
     ends = np.ones(state.shape, np.int32)
     for c in steps:
-        move = flat[state * width + c]
-        ends += move & 1
-        state = move >> 1
+        to = follow(model, state, c)
+        none = (to < 0) & (c != PAD)
+        ends += none
+        state = np.where(none, model.first[:, c], np.where(to < 0, state, to))
     return np.add.reduceat(ends, starts, axis=1).T
 
 
