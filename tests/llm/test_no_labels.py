@@ -1,0 +1,8 @@
+import corpus_pipeline
+
+
+def test_documents_stay_where_no_language_is_labelled(spark):
+    texts = ["some words", "日本", None, "", "12 !?"]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.keep_known_language(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [0, 1]
