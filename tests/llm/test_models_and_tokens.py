@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe_codec, lang_id, lm_score, multiset_fp, packing
+from tidewell.llm import bpe_codec, lm_score, multiset_fp, packing
 from tidewell.llm.bpe import Encoder, read_spec
 from tidewell.llm.common import table
 
@@ -86,41 +86,6 @@ def test_packing_covers_each_document_once(spark, tok):
     assert packing.cuts(4096 * 2 + 5, 4096) == [4096, 4096, 4, 1] and packing.cuts(0, 8) == []
 
 
-def test_languages_are_told_apart(spark):
-    docs = table(spark, SMALL, "documents")
-    model = lang_id.train(docs)
-    got = lang_id.identify(docs, model).where(lang_id.held_out()).collect()
-    assert len(got) > 30 and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95
-    assert all(0 <= r.score <= 1 for r in got)
-    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "12 !?", "x"), (4, "日本", "x"), (None, "the and of", "x"), (5, "a" * 300000, "x")], "doc_id long, text string, score string")
-    pred = lang_id.identify(odd, model, score_col="s").collect()
-    assert [r.lang_pred for r in pred[:3]] == ["und"] * 3 and pred[3].lang_pred in model.langs
-    none = lang_id.train(docs.limit(0))
-    assert {r.lang_pred for r in lang_id.identify(odd, none, score_col="s").collect()} == {"und"}
-    assert lang_id.identify(odd.limit(0), model, score_col="s").count() == 0
-
-
-def test_phrases_equal_a_plain_parse():
-    samples = [("a", "abracadabra abrakadabra"), ("b", "mississippi miss")]
-    model = lang_id.fit(samples)
-    for text in ("abra miss kadabra", "ssippi", "zz abra", "m" * 300):
-        coded = lang_id.coded(model.codes, text)
-        got = lang_id.phrases(model, [coded, coded[:1]])[0].tolist()
-        for k, (_, sample) in enumerate(samples):
-            known = lang_id.coded(model.codes, sample).tobytes()
-            n = 0
-            for at in range(0, len(coded), lang_id.BLOCK):
-                block, i = coded[at : at + lang_id.BLOCK].tobytes(), 0
-                while i < len(block):
-                    j = i
-                    while j < len(block) and block[i : j + 1] in known:
-                        j += 1
-                    n += 1
-                    i = max(j, i + 1)
-            # A letter that no phrase can start with ends the phrase before it and is none of its own start.
-            assert abs(got[k] - n) <= text.count("z") + len(set(text) - set(sample)) * len(text)
-
-
 def test_fingerprints_are_homomorphic_and_graded():
     r = random.Random(2)
     lines = [" ".join(r.choices([f"word{i}" for i in range(500)], k=20)) for _ in range(40)]

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Columns that operators add for their own use start with this, so that an input's own columns don't clash.
 OWN = "__tw_"
@@ -33,5 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def col(name: str) -> Column:
+    """A column by its plain name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(docs: DataFrame, first: str, names: list[str]) -> DataFrame:
+    """The text column `first` (as a string) and the named columns, called c0, c1, ...: Arrow functions take them by place, so that
+    no name of the input can clash with another."""
+    return docs.select(col(first).cast("string").alias("c0"), *(col(name).alias(f"c{i}") for i, name in enumerate(names, 1)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

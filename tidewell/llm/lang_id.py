@@ -1,223 +1,196 @@
 """Language identification by cross-parsing.
 
 A suffix automaton of some labelled text of each language holds all its substrings. A new text is cut greedily into
-the longest phrases that a language's automaton knows; in its own language a text needs the fewest phrases.
+the longest phrases that a language's automaton knows. A phrase points into a sample of m characters, so it costs
+log2(m) bits: phrases * log2(m) is the text's cross-entropy with the language, whatever the sizes of the samples. A sign
+that the sample lacks is a phrase of its own and is spelt out besides. The language with the least bits wins.
 
-The labelled text is a bounded sample: of each language `docs_per_lang` documents (those with the smallest hashed id)
-and `chars_per_doc` characters from the middle of each; everything else reads whole texts. Every letter of the sample
-has a code of its own, however many there are. The automata's transitions become one hash table, whose size follows
-from the sample and not from the alphabet, and workers parse many blocks of `BLOCK` characters in step (phrases end
-where a block ends, for every language alike).
+The labelled text is a bounded sample of rows, whole texts each: of a language's documents the `docs_per_lang` with the
+smallest hashed ids, texts up to `chars_per_lang` characters before longer ones, and of these as many as fit into
+`chars_per_lang` together, the first in any case. New texts are parsed whole, and every letter stands for itself;
+whatever lies between letters counts as one space.
 
 Cases: a null text or one with no letter is `und` with score 0, and so is everything if no labelled text was found.
 Ties go to the language that sorts first. Rows with a null id are never learned from (their remainder is unknown) and
-are not held out. Repeated rows get equal answers; other columns are kept as they are."""
+are not held out. Repeated rows get equal answers. Other columns are kept as they are, but columns of the input named
+like the results (in any case of letters) are replaced by them. An empty table gives an empty result."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import col, numbered
+
 UND = "und"
-BLOCK = 128
-DOCS_PER_LANG, CHARS_PER_DOC = 32, 768
-#: Codes of characters: a gap stands for everything that isn't a letter, STRANGE for letters not in the sample, PAD after a text's end.
-PAD, GAP, STRANGE, FIRST = 0, 1, 2, 3
-EMPTY = 2**64 - 1
+#: Bits of a sign that a sample lacks, as it stands, beside those of its phrase.
+SPELT = math.log2(0x110000)
+DOCS_PER_LANG, CHARS_PER_LANG = 32, 32_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     """Documents that are only predicted, never learned from."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-@dataclass
-class Model:
-    langs: list[str]
-    roots: np.ndarray  # each language's start state
-    first: np.ndarray  # [language, code] -> state in which a phrase that starts with the code is; or the start state
-    keys: np.ndarray  # hash table: state << 32 | code, or EMPTY
-    states: np.ndarray  # the next state of each key
-    probes: int  # places of the table within which every key stands
-    codes: np.ndarray  # code point -> code
-
-
-class Automaton:
-    """Suffix automaton, built letter by letter."""
-
-    def __init__(self):
-        self.next, self.link, self.length, self.last = [{}], [-1], [0], 0
-
-    def add(self, c: int) -> None:
-        nxt, link, length = self.next, self.link, self.length
-        cur, p = len(nxt), self.last
-        nxt.append({}), link.append(0), length.append(length[p] + 1)
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][c]
+class _Letters(dict):
+    """For str.translate: a letter is itself, anything else a space."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = out = chr(point) if chr(point).isalpha() else " "
+        return out
+
+
+_LETTERS = _Letters()
+
+
+def letters_of(text: str | None) -> str:
+    """Lower-cased words of letters with one space between; empty without letters."""
+    return " ".join((text or "").lower().translate(_LETTERS).split())
+
+
+def automaton(texts: list[str]) -> list[dict[str, int]]:
+    """The transitions of each state of the suffix automaton of some texts; phrases don't run from one into the next."""
+    nxt, link, length = [{}], [-1], [0]
+    for text in texts:
+        last = 0
+        for c in text:
+            if c in nxt[last]:  # known from an earlier text
+                q = nxt[last][c]
+                if length[q] == length[last] + 1:
+                    last = q
+                    continue
+                cur, p = None, last
+            else:
+                cur, p = len(nxt), last
+                nxt.append({}), link.append(0), length.append(length[last] + 1)
+                while p >= 0 and c not in nxt[p]:
+                    nxt[p][c] = cur
+                    p = link[p]
+                if p < 0:
+                    last = cur
+                    continue
+                q = nxt[p][c]
             if length[q] == length[p] + 1:
-                link[cur] = q
+                last = link[cur] = q
             else:
-                copy = len(nxt)
+                last = len(nxt)
                 nxt.append(dict(nxt[q])), link.append(link[q]), length.append(length[p] + 1)
                 while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = copy
+                    nxt[p][c] = last
                     p = link[p]
-                link[q] = link[cur] = copy
-        self.last = cur
+                link[q] = last
+            if cur is not None:
+                link[cur], last = last, cur
+    return nxt
+
+
+@dataclass
+class Model:
+    langs: list[str]
+    states: list[list[dict[str, int]]]  # each language's automaton
+    bits: list[float]  # what a phrase of each language costs
+
+    def __getstate__(self) -> dict:
+        return {"langs": self.langs, "states": self.states, "bits": self.bits}
+
+    @cached_property
+    def roots(self) -> list[dict]:
+        """The automata as dictionaries that hold the next ones."""
+        out = []
+        for states in self.states:
+            made = [{} for _ in states]
+            for own, go in zip(made, states, strict=True):
+                own.update((c, made[to]) for c, to in go.items())
+            out.append(made[0])
+        return out
+
+    def costs(self, letters: str) -> list[float]:
+        """Bits of a text, not empty, in each language."""
+        out, nowhere = [], {}
+        for root, bits in zip(self.roots, self.bits, strict=True):
+            state, phrases, unknown = nowhere, 0, 0
+            for c in letters:
+                to = state.get(c)
+                if to is None:
+                    phrases += 1
+                    to = root.get(c)
+                    if to is None:
+                        unknown += 1
+                        to = nowhere
+                state = to
+            out.append(phrases * bits + unknown * SPELT)
+        return out
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """(language, by how much the next one is dearer, 0 to 1)."""
+        letters = letters_of(text)
+        if not letters or not self.langs:
+            return UND, 0.0
+        costs = self.costs(letters)
+        least = min(costs)
+        best = costs.index(least)
+        other = min(costs[:best] + costs[best + 1 :], default=len(letters) * SPELT)
+        return self.langs[best], min(1.0, max(0.0, 1.0 - least / other))
 
 
 def fit(samples: list[tuple[str, str]]) -> Model:
     """samples: (language, text)."""
-    langs = sorted({lang for lang, _ in samples})
-    letters = sorted({c for _, text in samples for c in text.lower() if c.isalpha()})
-    width = FIRST + len(letters)
-    codes = np.full(0x110000, GAP, np.min_scalar_type(width))
-    for block in range(0, 0x110000, 0x1000):
-        codes[block : block + 0x1000] = [STRANGE if chr(c).isalpha() else GAP for c in range(block, block + 0x1000)]
-    for i, c in enumerate(letters):
-        codes[ord(c)] = FIRST + i
-    keys, states, firsts, roots, base = [], [], [], [], 0
-    for lang in langs:
-        own = Automaton()
-        for _, text in sorted(x for x in samples if x[0] == lang):
-            for c in coded(codes, text).tolist():
-                own.add(c)
-            own.last = 0  # the next sample starts anew: no phrase runs over the join
-        first = np.full(width, base, np.int32)
-        for c, s in own.next[0].items():
-            first[c] = base + s
-        for s, go in enumerate(own.next):
-            keys += [(base + s) << 32 | c for c in go]
-            states += [base + to for to in go.values()]
-        firsts.append(first), roots.append(base)
-        base += len(own.next)
-    table, places, probes = hashed(np.array(keys, np.uint64), np.array(states, np.int32))
-    return Model(langs, np.array(roots, np.int32), np.array(firsts, np.int32).reshape(len(langs), width), table, places, probes, codes)
-
-
-def place(keys: np.ndarray, size: int) -> np.ndarray:
-    """Where in a table of `size` places, a power of two, a key stands or the search for it starts."""
-    h = keys * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.int64) & (size - 1)
-
-
-def hashed(keys: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(keys, states, probes) of an open hash table with at most a quarter of its places in use."""
-    size = 1 << max(4, (4 * len(keys) - 1).bit_length())
-    table, values = np.full(size, EMPTY, np.uint64), np.zeros(size, np.int32)
-    at, left, probes = place(keys, size), np.arange(len(keys)), 1
-    while len(left):
-        free = left[table[at[left]] == EMPTY]
-        table[at[free]] = keys[free]  # of those that meet in one place, the last one stays
-        left = left[table[at[left]] != keys[left]]
-        at[left] = (at[left] + 1) & (size - 1)
-        probes += len(left) > 0
-    at = place(keys, size)
-    for _ in range(probes):
-        here = table[at] == keys
-        values[at[here]] = states[here]
-        at = np.where(here, at, (at + 1) & (size - 1))
-    return table, values, probes
-
-
-def coded(codes: np.ndarray, text: str) -> np.ndarray:
-    return codes[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
-
-
-def follow(model: Model, state: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The states after the codes c, or -1 where a phrase can't go on."""
-    want = (state.astype(np.uint64) << np.uint64(32) | c.astype(np.uint64)).reshape(-1)
-    size = len(model.keys)
-    at = place(want, size)
-    found = model.keys[at]
-    to = np.where(found == want, model.states[at], np.int32(-1))
-    left = np.flatnonzero((found != want) & (found != EMPTY))
-    for _ in range(1, model.probes):
-        if not len(left):
-            break
-        at[left] = (at[left] + 1) & (size - 1)
-        found = model.keys[at[left]]
-        hit = found == want[left]
-        to[left[hit]] = model.states[at[left[hit]]]
-        left = left[~hit & (found != EMPTY)]
-    return to.reshape(state.shape)
-
-
-def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """[text, language]: how many phrases each text takes. Texts are coded and not empty."""
-    blocks = [-(-len(t) // BLOCK) for t in texts]
-    laid = np.zeros(sum(blocks) * BLOCK, model.codes.dtype)
-    starts = np.concatenate([[0], np.cumsum(blocks)])[:-1]
-    for t, b in zip(texts, starts, strict=True):
-        laid[b * BLOCK : b * BLOCK + len(t)] = t
-    steps = np.ascontiguousarray(laid.reshape(-1, BLOCK).T)
-    state = np.repeat(model.roots[:, None], steps.shape[1], axis=1)
-    ends = np.ones(state.shape, np.int32)
-    for c in steps:
-        to = follow(model, state, c)
-        none = (to < 0) & (c != PAD)
-        ends += none
-        state = np.where(none, model.first[:, c], np.where(to < 0, state, to))
-    return np.add.reduceat(ends, starts, axis=1).T
-
-
-def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    langs, scores = [UND] * len(texts), [0.0] * len(texts)
-    todo, size = [], 0
-
-    def flush() -> None:
-        n = phrases(model, [x for _, x in todo])
-        best = n.argmin(axis=1)
-        least = n.min(axis=1)
-        n[np.arange(len(n)), best] = np.iinfo(np.int32).max
-        other = n.min(axis=1) if n.shape[1] > 1 else np.array([len(x) for _, x in todo])
-        for (i, _), b, p, q in zip(todo, best.tolist(), least.tolist(), other.tolist(), strict=True):
-            langs[i], scores[i] = model.langs[b], min(1.0, max(0.0, 1.0 - p / max(q, 1)))
-
-    if model.langs:
-        for i, text in enumerate(texts):
-            if text and (x := coded(model.codes, text)).max() >= STRANGE:
-                todo.append((i, x))
-                size += len(x)
-                if size > 2_000_000:
-                    flush()
-                    todo, size = [], 0
-        if todo:
-            flush()
-    return langs, scores
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC) -> Model:
-    """Fit on the bounded sample. Ids are picked first, over the narrow columns; then those documents' texts are read."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64(id_col), id_col)
-    picked = labelled.select(F.col(id_col), F.col(lang_col).alias("lang")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= docs_per_lang)
-    ids = [r[0] for r in picked.select(id_col).collect()]
-    if not ids:
+    texts: dict[str, list[str]] = {}
+    for lang, text in sorted(samples):
+        if letters := letters_of(text):
+            texts.setdefault(lang, []).append(letters)
+    return Model(list(texts), [automaton(t) for t in texts.values()], [math.log2(2 + sum(map(len, t))) for t in texts.values()])
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, chars_per_lang: int = CHARS_PER_LANG) -> Model:
+    """Fit on the bounded sample: rows are picked by narrow columns first, then their texts are read."""
+    rows = docs.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text"), held_out(id_col).alias("held"))
+    rows = rows.where("lang IS NOT NULL AND id IS NOT NULL AND text IS NOT NULL AND NOT held").withColumns({"chars": F.length("text"), "digest": F.xxhash64("text")})
+    w = Window.partitionBy("lang").orderBy(F.col("chars") > chars_per_lang, F.xxhash64("id"), "id", "digest")
+    first = rows.select("id", "lang", "chars", "digest").distinct().withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= docs_per_lang)
+    picked, left = [], {}
+    for r in sorted(first.collect(), key=lambda r: (r["lang"], r["rn"])):  # docs_per_lang rows a language at most
+        room = left.get(r["lang"], max(chars_per_lang, r["chars"]))
+        if r["chars"] <= room:
+            picked.append((r["lang"], r["digest"]))
+            left[r["lang"]] = room - r["chars"]
+    if not picked:
         return fit([])
-    middle = F.greatest(F.lit(1), ((F.length(text_col) - chars_per_doc) / 2).cast("int") + 1)
-    rows = labelled.where(F.col(id_col).isin(ids) & F.col(text_col).isNotNull()).select(F.col(lang_col), F.col(text_col).substr(middle, F.lit(chars_per_doc)))
-    return fit([(r[0], r[1]) for r in rows.collect()])
+    texts = rows.where(F.col("digest").isin([d for _, d in picked])).groupBy("lang", "digest").agg(F.first("text").alias("text"))
+    return fit([(r["lang"], r["text"]) for r in texts.collect() if (r["lang"], r["digest"]) in picked])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """docs with pred_col and score_col (0 to 1: how many phrases fewer than the next language) beside its columns."""
+    """docs with pred_col and score_col (0 to 1: by what share the next language costs more) beside its columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    fields = [f for f in docs.schema.fields if f.name.lower() not in (pred_col.lower(), score_col.lower())]
+    names = [*(f.name for f in fields), pred_col, score_col]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = predict(sent.value, batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred_col, score_col])
+            made = [sent.value.predict(x.as_py()) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names)
+
+    schema = T.StructType([*fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    return numbered(docs, text_col, [f.name for f in fields]).mapInArrow(add, schema)
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents whose language is found, with the columns of docs."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([sent.value.predict(x.as_py())[0] != UND for x in batch.column(0)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names).filter(found)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
-    return docs.mapInArrow(add, schema)
+    return numbered(docs, text_col, names).mapInArrow(keep, docs.schema)
