@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import col, partitions
 
 DENSE, PROFILE = 64, 64
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -106,7 +106,7 @@ def edited(text: str, following: str) -> str:
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document: id, n_chars, edited_sha256, fingerprint and edited_fingerprint (hex), near_edited, near_next."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     n = partitions(spark)
     bounds = np.array(sorted(set(rows.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n))), np.float64)
 
@@ -116,17 +116,15 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     rows = rows.withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(range_of("id")))
     firsts = rows.groupBy("part").agg(F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("none")).orderBy("part").collect()  # one row a range
-    if not firsts:
-        firsts = [None]
-    goes = F.lit(None).cast("int")
-    for before, this in zip([firsts[-1], *firsts], firsts, strict=False):
-        if this is not None:
-            own = F.col("id").isNull() if this["none"] else F.col("id") == this["id"]
-            goes = F.when((F.col("part") == this["part"]) & own, F.lit(before["part"])).otherwise(goes)
+    # Where the first rows of each range go, too: a table of a row a range, and so of a known size.
+    before = [firsts[k - 1]["part"] for k in range(len(firsts))]
+    kind = docs.schema[id_col].dataType.simpleString()
+    sent_to = spark.createDataFrame([(r["part"], None if r["none"] else r["id"], to) for r, to in zip(firsts, before, strict=True)], f"part int, first {kind}, goes int")
+    rows = rows.join(F.broadcast(sent_to), "part", "left")
+    goes = F.when(F.col("id").eqNullSafe(F.col("first")), F.col("goes"))
     stay, sent = F.struct(F.col("part").alias("to"), F.lit(0).alias("late")), F.struct(goes.alias("to"), F.lit(1).alias("late"))
     moved = rows.select("id", "text", F.explode(F.when(goes.isNull(), F.array(stay)).otherwise(F.array(stay, sent))).alias("s")).select("id", "text", "s.to", "s.late")
     ranges = moved.repartitionById(n, F.col("to")).sortWithinPartitions("late", "id", "text")
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, over = None, False  # held: (id batch, its row, text, fingerprint)
