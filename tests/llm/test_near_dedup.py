@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -55,11 +56,34 @@ def test_stage_equals_exact_jaccard(spark):
     assert sorted(-1 if x.doc_id is None else x.doc_id for x in out.collect()) == brute(data)
 
 
-def test_many_ids_are_shuffled_and_empty_tables_stay_empty(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 1)
+def test_one_large_group_of_copies(spark):
+    """Most pairs lie below the likeness, many above: the components are those of all pairs."""
     r = random.Random(4)
-    base = " ".join(r.choices([f"w{i}" for i in range(500)], k=200))
-    data = [(i, changed(r, base, 1)) for i in range(20)] + [(50, "other text")]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    assert sorted(x.doc_id for x in near_dedup.keep_one(df).collect()) == brute(data) == [0, 50]
-    assert near_dedup.keep_one(df.where(F.lit(False))).count() == 0
+    base = " ".join(r.choices([f"w{i}" for i in range(3000)], k=150))
+    data = [(i, changed(r, base, r.choice((1, 3, 6)))) for i in range(300)] + [(500, "other text")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    assert sorted(x.doc_id for x in near_dedup.keep_one(df).collect()) == brute(data)
+
+
+def test_odd_rows_and_names(spark):
+    r = random.Random(5)
+    long_ = " ".join(r.choices([f"w{i}" for i in range(9000)], k=60_000))
+    data = [(1, long_, 1), (2, changed(r, long_, 500), 2), (3, "x" * 300_000, 3), (4, "y " * 90_000, 4), (5, "y " * 80_000, 5)]
+    data += [(6, "first of one id", 6), (6, "another text of it", 7), (6, "another text of it", 8), (None, None, 9), (None, "", 10)]
+    df = spark.createDataFrame(data, "key long, text string, node int").withColumns({"c0": F.lit(1), "__tw_fp": F.lit(2), "a.b": F.lit(3), "bucket": F.lit(4)})
+    out = near_dedup.keep_one(df, id_col="key")
+    assert out.schema == df.schema
+    got = out.collect()
+    assert sorted((x.key, x.text[:5]) for x in got if x.key) == [(1, long_[:5]), (3, "xxxxx"), (4, "y y y"), (6, "anoth"), (6, "first")]
+    assert len(got) == 6
+    assert near_dedup.keep_one(df.where(F.lit(False)), id_col="key").count() == 0
+
+
+def test_fingerprints_bound_distances():
+    r = random.Random(6)
+    for n in (40, 400):
+        for _ in range(50):
+            both = {r.getrandbits(63) for _ in range(round(n * 8 / 9))}
+            a, b = (np.array(sorted(both | {r.getrandbits(63) for _ in range(n - len(both))}), np.uint64) for _ in range(2))
+            apart = sum((x ^ y).bit_count() for x, y in zip(*(near_dedup.fingerprint(h).view(np.uint64).tolist() for h in (a, b))))
+            assert apart <= near_dedup.farthest(0.8) < near_dedup.WIDE / 3
