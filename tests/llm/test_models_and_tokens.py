@@ -1,13 +1,12 @@
 import hashlib
-import math
 import random
 import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.test_queries import plain_scores
 from tidewell.llm import bpe_codec, lm_score, multiset_fp, packing
 from tidewell.llm.bpe import Encoder, read_spec
 from tidewell.llm.common import table
@@ -120,33 +119,35 @@ def test_neighbours_follow_ids(spark):
     assert multiset_fp.compare(odd).count() == 5
 
 
-def test_scores_equal_plain_counts(spark):
-    docs = [(1, "good words here"), (2, "good words again"), (3, "bad stuff here"), (4, None), (5, "!!!"), (3, "bad stuff here"), (None, "good")]
-    df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, score int").repartition(3)
-    labels = spark.createDataFrame([(1, True), (2, False), (2, True), (3, False), (None, True)], "doc_id long, good boolean")
-    got = lm_score.score(df, labels)
-    size = lm_score.VOCABULARY
-    good = [t for i, t in docs if i in (1, 2)]
-    models = []
-    for texts in (good, [t for _, t in docs]):
-        uni, bi = Counter(), Counter()
-        for t in texts:
-            w = ["<s>", *lm_score.words_of(t)]
-            uni.update(w), bi.update(zip(w, w[1:]))
-        models.append((uni, bi))
-    for r in got.collect():
-        text = next(t for i, t in docs if i == r.doc_id)
-        w = ["<s>", *lm_score.words_of(text)]
-        assert r.n_tokens == len(w) - 1
-        if len(w) == 1:
-            assert (r.target_loss, r.background_loss, r.score) == (None, None, 0)
-            continue
-        loss = []
-        for uni, bi in models:
-            n = sum(v for k, v in uni.items() if k != "<s>")
-            p = [(bi[a, b] + lm_score.MU * (uni[b] + 1) / (n + size)) / (uni[a] + lm_score.MU) for a, b in zip(w, w[1:])]
-            loss.append(-sum(map(math.log, p)) / len(p))
-        assert (r.target_loss, r.background_loss) == pytest.approx(tuple(loss), rel=1e-4) and r.score == pytest.approx(loss[0] - loss[1], rel=1e-3, abs=1e-5)
-    by = {r.doc_id: r.score for r in got.where(F.col("n_tokens") > 1).collect()}
-    assert by[1] < by[3]
-    assert lm_score.score(df.limit(0), labels).count() == 0 and lm_score.score(df, labels.limit(0)).count() == len(docs)
+def test_scores_equal_plain_counts(spark, monkeypatch):
+    docs = [(1, "good words here"), (2, "good words again"), (3, "bad stuff here"), (4, None), (5, "!!!"), (3, "bad stuff here"), (None, "good"), (6, "so " * 50_000 + "Ünd"), (7, " \n")]
+    good = {1, 2}
+    labels = spark.createDataFrame([(1, True), (2, False), (2, True), (3, False), (None, True), (1, True)], "doc_id long, good boolean")
+    df = spark.createDataFrame([(*d, 0, 0) for d in docs], "doc_id long, text string, score int, batch int").repartition(3)
+    key = lambda r: tuple((x is None, x) for x in r)
+    for chars in (lm_score.BATCH_CHARS, 1):  # one batch a task, one a document
+        monkeypatch.setattr(lm_score, "BATCH_CHARS", chars)
+        for frame, marks, chosen in ((df, labels, good), (df, labels.limit(0), set())):
+            want = sorted(((i, *w) for (i, _), w in zip(docs, plain_scores(docs, chosen))), key=key)
+            got = lm_score.score(frame, marks).collect()
+            assert all(r.score == pytest.approx(r.target_loss - r.background_loss) if r.n_tokens else r.score == 0 for r in got)
+            for g, w in zip(sorted((tuple(r)[:4] for r in got), key=key), want, strict=True):
+                assert g[:2] == w[:2] and (g[2:] == w[2:] == (None, None) or g[2:] == pytest.approx(w[2:]))
+    assert lm_score.score(df.limit(0), labels).count() == 0
+
+
+def test_labels_held_out_are_told_apart(spark):
+    """Good documents are told from others, no better where their own label was used than where it wasn't."""
+    dir_ = "/root/testdata/sf0.01"
+    labels = table(spark, dir_, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    good = {r.doc_id: r.good for r in labels.collect()}
+    used = F.col("doc_id") % 2 == 0
+    got = {r.doc_id: r.score for r in lm_score.score(table(spark, dir_, "documents"), labels.where(used)).collect()}
+
+    def auc(ids):
+        yes, no = [got[i] for i in ids if good[i]], [got[i] for i in ids if not good[i]]
+        return np.mean([(y < n) + (y == n) / 2 for y in yes for n in no])
+
+    seen, held = (auc([i for i in good if i in got and i % 2 == k]) for k in (0, 1))
+    print("AUC", seen, held)
+    assert held > 0.7 and abs(seen - held) < 0.15

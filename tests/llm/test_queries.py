@@ -41,30 +41,41 @@ def test_op4(spark, docs):
     assert sorted(tuple(r) for r in run(spark, "op4_simhash")) == sorted(want)
 
 
-def test_op5(spark, docs):
-    good = {r.doc_id for r in table(spark, DIR, "labels").collect() if r.quality == 1 and r.toxic == 0}
-    words = {r.doc_id: lm_score.words_of(r.text) for r in docs}
-    counted = Counter(w for ws in words.values() for w in ws)
-    ids = {w: i + lm_score.FIRST for i, w in enumerate(sorted(counted, key=lambda w: (-counted[w], w))[: lm_score.VOCABULARY - lm_score.FIRST])}
-    laid = {i: [lm_score.START, *(ids.get(w, lm_score.UNKNOWN) for w in ws)] for i, ws in words.items()}
-    # Bigrams in one cell of the table share their count.
-    cells = {i: lm_score.cell(np.array(w[:-1]), np.array(w[1:])).tolist() if len(w) > 1 else [] for i, w in laid.items()}
+def plain_scores(docs, good):
+    """{place: (n_tokens, target loss, background loss)} of documents (id, text), each scored by counts of the others."""
+    laid = [["<s>", *lm_score.words_of(t)] for _, t in docs]
+    size = len({w for ws in laid for w in ws[1:]})
     models = []
-    for chosen in (good, laid.keys()):
+    for chosen in ([i in good for i, _ in docs], [True] * len(docs)):
         uni, bi = Counter(), Counter()
-        for i in chosen & laid.keys():
-            uni.update(laid[i]), bi.update(cells[i])
-        models.append((uni, bi, sum(n for w, n in uni.items() if w != lm_score.START)))
-    got = run(spark, "op5_lm_score")
+        for ws, c in zip(laid, chosen):
+            if c:
+                uni.update(ws), bi.update(zip(ws, ws[1:]))
+        models.append((chosen, uni, bi, sum(n for w, n in uni.items() if w != "<s>")))
+    out = []
+    for k, ws in enumerate(laid):
+        own, pairs, losses = Counter(ws), Counter(zip(ws, ws[1:])), []
+        for chosen, uni, bi, n in models:
+            less, n = (1, n - len(ws) + 1) if chosen[k] else (0, n)
+            loss = 0.0
+            for (a, b), c in pairs.items():
+                p = (uni[b] - less * own[b] + 1) / (n + size)
+                loss -= c * math.log((bi[a, b] - less * c + lm_score.MU * p) / (uni[a] - less * own[a] + lm_score.MU))
+            losses.append(loss / (len(ws) - 1) if len(ws) > 1 else None)
+        out.append((len(ws) - 1, *losses))
+    return out
+
+
+def test_op5(spark, docs):
+    good = {r.doc_id for r in table(spark, DIR, "labels").collect() if r.quality == 1 and r.toxic == 0}
+    want = plain_scores([(r.doc_id, r.text) for r in docs], good)
+    got = {r.doc_id: r for r in run(spark, "op5_lm_score")}
     assert len(got) == len(docs)
-    for r in got:
-        w = laid[r.doc_id]
-        assert r.n_tokens == len(w) - 1
-        if len(w) > 1:
-            loss = [-sum(math.log((min(bi[c], uni[a]) + lm_score.MU * (uni[b] + 1) / (n + lm_score.VOCABULARY)) / (uni[a] + lm_score.MU)) for a, b, c in zip(w, w[1:], cells[r.doc_id])) / (len(w) - 1) for uni, bi, n in models]
-            assert (r.target_loss, r.background_loss) == pytest.approx(loss, rel=1e-5) and r.score == pytest.approx(loss[0] - loss[1], abs=1e-4)
-    of = lambda ids: np.mean([r.score for r in got if r.doc_id in ids])
-    assert of(good) < of(laid.keys() - good)
+    for r, (n, t, b) in zip(docs, want):
+        g = got[r.doc_id]
+        assert g.n_tokens == n
+        if n:
+            assert (g.target_loss, g.background_loss) == pytest.approx((t, b)) and g.score == pytest.approx(t - b, abs=1e-9)
 
 
 def plain_fingerprint(text):

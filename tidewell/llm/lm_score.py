@@ -1,37 +1,45 @@
 """Language-model scoring by cross-entropy difference (Moore and Lewis, 2010).
 
 Two bigram models of the same form are counted over the whole corpus: a target model over the documents that the
-labels call good, a background model over all of them. They share one vocabulary, the most frequent words of the
-corpus (ties by word) with all others as one unknown word, and one hashed table of bigrams. A document's score is its
-mean loss per token under the target model minus that under the background model: the lower, the more target-like.
+labels call good, a background model over all of them. They share one vocabulary, all words of the corpus, so no word
+is unknown. A document's score is its mean loss per token under the target model minus that under the background
+model: the lower, the more target-like. Both models are taken without the document that they score (its own counts are
+subtracted), so a document that carries a label is judged like any other.
 
     p(w | v) = (n(v, w) + MU * p(w)) / (n(v) + MU),    p(w) = (n(w) + 1) / (n + size of the vocabulary)
 
-Sizes: words are counted without bounds, partial counts first. What is sent to all workers has fixed size: VOCABULARY
-words, and counts of 2^TABLE_BITS bigram cells (bigrams in one cell share their count). Each task puts out the counts of
-its cells in blocks; a block is summed in SALTS parts and then over these, streamed with one block held at a time. Ids
-of the documents called good are broadcast up to BROADCAST_IDS; if there are more, documents are shuffled to them.
+Counting and looking up are one exchange. Texts are read once and filed in batches of about BATCH_CHARS characters,
+as numbers of the batch's own words. Each batch sends its distinct words and bigrams with their counts to the buckets
+of their 64-bit keys; a bucket sums each key over all batches and answers each batch with the sums of what it sent;
+with these the batch scores its documents. So counts are exact, whatever the size of the corpus (but for two keys that
+share all bits that are compared, 48 and those that choose the bucket), and nothing of the models reaches the driver or
+every worker: only the number of words, of tokens, and of distinct words do.
+
+Skew: a word or bigram is sent once a batch, however frequent. There are BUCKETS buckets to a shuffle partition, handled
+one by one. Labels meet documents by id in narrow rows; texts are not shuffled.
 
 Cases: null and empty texts, and those without words, have no tokens, null losses and score 0. Without labelled
 documents the target model is uniform. Labels of one id are merged (good if any says so); null ids are not labelled.
-Repeated rows each count and each get an answer. An empty table gives an empty result; extra columns are dropped."""
+Repeated rows each count and each get an answer, which leaves out only the row itself. One very long text is a batch of
+its own. An empty table gives an empty result; extra columns are dropped."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import col, partitions, written
 
-VOCABULARY, TABLE_BITS, MU, BLOCK, SALTS = 32768, 20, 8.0, 4096, 8
-BROADCAST_IDS = 1_000_000
-START, UNKNOWN, FIRST = 0, 1, 2
+MU, BATCH_CHARS, BUCKETS = 1000.0, 8 << 20, 4
+START = 0
 WORD = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -39,157 +47,164 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def cell(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The table cells of bigrams of word ids."""
-    h = (before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+class _Numbers(dict):
+    """Word -> its number in the batch, from 1 on; START is 0."""
 
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self) + 1
+        return n
 
-def laid_out(ids: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(word ids of all texts, each after a START; where each text begins)."""
-    out, begins, get = [], [], ids.get
-    for text in texts:
-        begins.append(len(out))
-        out.append(START)
-        out += [get(w, UNKNOWN) for w in words_of(text)]
-    return np.array(out, np.int64), np.array(begins, np.int64)
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
 
-def portions(texts: list[str | None], chars: int = 8 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of texts (first, end) of about so many characters, one text at least."""
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and size < chars:
-            size += len(texts[to] or "")
-            to += 1
-        yield at, to
-        at = to
 
+class Grams:
+    """The distinct words and bigrams of a batch: words by number, then bigrams in the order of their words' numbers."""
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> list[str]:
-    """The corpus's most frequent words; their ids follow START and UNKNOWN in this order."""
+    def __init__(self, words: np.ndarray, seq: np.ndarray, buckets: int):
+        self.seq, self.inner = seq, np.flatnonzero(seq[1:] != START) + 1  # places of words; no bigram runs from one text into the next
+        before, word = seq[self.inner - 1], seq[self.inner]
+        pairs, self.pair = np.unique(before << 32 | word, return_inverse=True)
+        h = words.view(np.uint64)
+        keys = np.concatenate([_mix(h), _mix(_mix(h[pairs >> 32]) * np.uint64(3) + h[pairs & 0xFFFFFFFF])])
+        bucket = (keys >> np.uint64(48)).astype(np.int64) % buckets
+        self.width, self.order = len(words), np.argsort(bucket, kind="stable")
+        self.keys, sizes = keys[self.order], np.bincount(bucket, minlength=buckets)
+        self.buckets = np.flatnonzero(sizes)
+        self.ends = np.cumsum(sizes[self.buckets])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[str] = Counter()
-        shown = lambda: pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n.update(words_of(text))
-                if len(n) > 200_000:
-                    yield shown()
-                    n.clear()
-        if n:
-            yield shown()
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = written(counted, "word-counts")
-    # Words by binary length of their counts: those too rare to be chosen stay in their tasks, so that the sort gets few.
-    length = F.floor(F.log2("n") + 1e-9).cast("int")
-    left, least = size - FIRST, 0
-    for r in sorted(counted.groupBy(length.alias("length")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["length"]):
-        if left > 0:
-            left, least = left - r["words"], r["length"]
-    return [r["word"] for r in counted.where(length >= least).orderBy(F.desc("n"), "word").limit(size - FIRST).collect()]
-
-
-def packed(n: np.ndarray) -> bytes | None:
-    """A block's counts [2, cells] where the second is not 0: width of the counts, places, counts."""
-    some = np.flatnonzero(n[1])
+    def counts(self, picked: np.ndarray) -> np.ndarray:
+        """How often each word and bigram comes within the picked places, in the order of the buckets."""
+        n = np.concatenate([np.bincount(self.seq[picked], minlength=self.width), np.bincount(self.pair[picked[self.inner]], minlength=len(self.keys) - self.width)])
+        return n[self.order]
+
+
+def _numbers(n: np.ndarray) -> bytes:
     kind = "<u4" if n.max(initial=0) < 2**32 else "<u8"
-    return kind.encode() + some.astype("<u2").tobytes() + n[:, some].astype(kind).tobytes() if len(some) else None
+    return kind.encode() + zstandard.ZstdCompressor(level=1).compress(n.astype(kind).tobytes())
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(places, counts [2, places])."""
-    kind = np.dtype(data[:3].decode())
-    k = (len(data) - 3) // (2 + 2 * kind.itemsize)
-    return np.frombuffer(data, "<u2", k, 3), np.frombuffer(data, kind, 2 * k, 3 + 2 * k).reshape(2, k).astype(np.int64)
+def _read(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[3:]), data[:3].decode()).astype(np.int64)
 
 
-def counts(labelled: DataFrame, words: list[str], size: int = VOCABULARY) -> np.ndarray:
-    """labelled: (text, good). [2, size + cells]: counts in the target and in all documents of each word and cell."""
-    sent = labelled.sparkSession.sparkContext.broadcast({w: i + FIRST for i, w in enumerate(words)})
-    width = size + (1 << TABLE_BITS)
+def _own(docs: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """At each place, how often its gram comes in its document."""
+    _, at, n = np.unique(docs << 32 | grams, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def batches_of(narrow: DataFrame) -> DataFrame:
+    """narrow: (id, text) -> one row a batch: its documents' ids and lengths, the hashes of its words by number, and seq,
+    the numbers of all texts' words, each text after a START."""
+    kind = narrow.schema["id"].dataType.simpleString()
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lengths, seq, numbers, chars, done = [], [], [], _Numbers(), 0, TaskContext.get().partitionId() << 32
+
+        def filed() -> pa.RecordBatch:
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in ["", *numbers]], np.uint64).view(np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in (pa.concat_arrays(ids), pa.array(lengths, pa.int64()), pa.array(hashes))]
+            return pa.RecordBatch.from_arrays([pa.array([done], pa.int64()), *lists, pa.array([_numbers(np.array(seq, np.int64))], pa.binary())], ["batch", "ids", "lengths", "words", "seq"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, width), np.int64)
-        for batch in batches:
-            good, texts = np.array([bool(g) for g in batch.column(1).to_pylist()]), batch.column(0).to_pylist()
-            for at, to in portions(texts):
-                ids, begins = laid_out(sent.value, texts[at:to])
-                own = np.repeat(good[at:to], np.diff([*begins, len(ids)]))
-                # A START is counted as context, a word as context and word; no bigram runs from one text into the next.
-                inner = ids[1:] != START
-                cells = size + cell(ids[:-1], ids[1:])[inner]
-                for row, pick in ((0, own), (1, slice(None))):
-                    n[row] += np.bincount(ids[pick], minlength=width) + np.bincount(cells[own[1:][inner]] if row == 0 else cells, minlength=width)
-        if n[1].any():
-            parts = [packed(n[:, at : at + BLOCK]) for at in range(0, width, BLOCK)]
-            keep = [i for i, p in enumerate(parts) if p]
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([parts[i] for i in keep], pa.binary())], ["block", "counts"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, n = None, np.zeros((2, BLOCK), np.int64)
-        shown = lambda: pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed(n)], pa.binary())], ["block", "counts"])
         for batch in batches:
-            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if b != block:
-                    if block is not None:
-                        yield shown()
-                    block, n = b, np.zeros((2, BLOCK), np.int64)
-                places, got = unpacked(data)
-                n[:, places] += got
-        if block is not None:
-            yield shown()
-
-    parts = labelled.select("text", "good").mapInArrow(count, "block int, counts binary")
-    salted = parts.withColumn("salt", F.spark_partition_id() % SALTS).repartition("block", "salt").sortWithinPartitions("block").select("block", "counts").mapInArrow(total, "block int, counts binary")
-    sums = salted.repartition("block").sortWithinPartitions("block").mapInArrow(total, "block int, counts binary")
-    out = np.zeros((2, -(-width // BLOCK) * BLOCK), np.int64)
-    for r in sums.collect():  # at most 18 bytes a word and cell, whatever the corpus
-        places, got = unpacked(r["counts"])
-        out[:, r["block"] * BLOCK + places.astype(np.int64)] = got
-    return out[:, :width]
-
-
-def losses(n: np.ndarray, size: int, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """[2, bigrams]: -log p under the target and the background model."""
-    cells = size + cell(before, word)
-    words = n[:, :size].copy()
-    words[:, START] = 0
-    p = (words[:, word] + 1.0) / (words.sum(axis=1, keepdims=True) + size)
-    return -np.log((np.minimum(n[:, cells], n[:, before]) + MU * p) / (n[:, before] + MU))
-
-
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY) -> DataFrame:
+            for i, text in enumerate(batch.column(1)):
+                words = words_of(text.as_py())
+                ids.append(batch.column(0).slice(i, 1)), lengths.append(len(words))
+                seq.append(START)
+                seq += map(numbers.__getitem__, words)
+                chars += 32 + len(text.as_py() or "")
+                if chars >= BATCH_CHARS:
+                    yield filed()
+                    ids, lengths, seq, numbers, chars, done = [], [], [], _Numbers(), 0, done + 1
+        if ids:
+            yield filed()
+
+    return written(narrow.mapInArrow(file, f"batch long, ids array<{kind}>, lengths array<long>, words array<long>, seq binary"), "word-numbers")
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document: id, n_tokens, target_loss, background_loss, score. labels: (id, good boolean)."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    words = vocabulary(narrow, "text", size)
-    good = labels.where(F.col(id_col).isNotNull() & F.col("good")).select(F.col(id_col).alias("id"), "good").distinct()
-    # One more than the bound tells whether there are more; the texts are shuffled only then.
-    few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    n = counts(narrow.join(F.broadcast(good) if few else good, "id", "left").select("text", "good"), words, size)
-    sent = docs.sparkSession.sparkContext.broadcast(({w: i + FIRST for i, w in enumerate(words)}, n.astype(np.float32)))
-    kind = narrow.schema["id"].dataType.simpleString()
+    spark = docs.sparkSession
+    made = batches_of(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")))
+    good = labels.where(col(id_col).isNotNull() & F.col("good")).select(col(id_col).alias("id")).distinct()
+    places = made.select("batch", F.posexplode(F.arrays_zip("ids", "lengths")).alias("at", "doc")).select("batch", "at", "doc.ids", "doc.lengths")
+    marked = places.join(good, places["ids"] == good["id"]).groupBy("batch").agg(F.collect_list("at").alias("good"), F.sum("lengths").alias("n"))
+    marked = written(marked, "labelled-places")
+    sizes = made.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0, marked.agg(F.sum("n")).first()[0] or 0
+    vocabulary = made.select(F.explode("words").alias("word")).distinct().count() - 1
+    n_buckets = min(1 << 16, BUCKETS * partitions(spark))
+    both = made.join(marked.select("batch", "good"), "batch", "left").select("batch", "ids", "words", "seq", "good")
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, Grams, np.ndarray, np.ndarray]]:
+        """(number, ids, grams, each place's document, which documents are good) of each row of `both`."""
+        for i in range(batch.num_rows):
+            ids = batch.column(1)[i].values
+            grams = Grams(batch.column(2)[i].values.to_numpy(zero_copy_only=False), _read(batch.column(3)[i].as_py()), n_buckets)
+            is_good = np.zeros(len(ids), bool)
+            is_good[batch.column(4)[i].as_py() or []] = True
+            yield batch.column(0)[i].as_py(), ids, grams, np.cumsum(grams.seq == START) - 1, is_good
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each batch and bucket: the keys, and their counts in all and in good documents."""
+        for batch in batches:
+            for number, _, grams, of, is_good in rows_of(batch):
+                n = grams.counts(np.ones(len(of), bool)), grams.counts(is_good[of])
+                low, high = grams.keys.astype("<u4"), (grams.keys >> np.uint64(32)).astype("<u2")
+                cut = [(a, b) for a, b in zip([0, *grams.ends[:-1]], grams.ends, strict=True)]
+                cols = [pa.array(grams.buckets), pa.array([number] * len(cut), pa.int64()), pa.array([low[a:b].tobytes() + high[a:b].tobytes() for a, b in cut], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array([_numbers(x[a:b]) for a, b in cut], pa.binary()) for x in n)], ["bucket", "batch", "keys", "n", "t"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each row that a bucket got, the sums over all rows of the bucket. Rows come by bucket."""
+        held, bucket = [], None
+
+        def answered() -> pa.RecordBatch:
+            low, high = [np.frombuffer(k, "<u4", len(k) // 6) for _, k, _, _ in held], [np.frombuffer(k, "<u2", len(k) // 6, len(k) // 6 * 4) for _, k, _, _ in held]
+            _, at = np.unique(np.concatenate(low).astype(np.int64) | np.concatenate(high).astype(np.int64) << 32, return_inverse=True)
+            sums = [np.bincount(at, np.concatenate([_read(h[k]) for h in held])).astype(np.int64)[at] for k in (2, 3)]
+            ends = np.cumsum([len(x) for x in low])[:-1]
+            cols = [pa.array([bucket] * len(held), pa.int64()), pa.array([h[0] for h in held], pa.int64()), *(pa.array([_numbers(x) for x in np.split(s, ends)], pa.binary()) for s in sums)]
+            return pa.RecordBatch.from_arrays(cols, ["bucket", "batch", "n", "t"])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, table = sent.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            loss, tokens = np.zeros((2, len(texts))), np.zeros(len(texts), np.int64)
-            for at, to in portions(texts):
-                ids, begins = laid_out(ids_of, texts[at:to])
-                own = np.repeat(np.arange(at, to), np.diff([*begins, len(ids)]))[1:]
-                inner = ids[1:] != START
-                got = losses(table, size, ids[:-1][inner], ids[1:][inner])
-                for row in range(2):
-                    loss[row] += np.bincount(own[inner], got[row], len(texts))
-                tokens += np.bincount(own[inner], minlength=len(texts))
-            none = tokens == 0
-            mean = loss / np.maximum(tokens, 1)
-            cols = [pa.array(tokens), *(pa.array(m, pa.float64(), mask=none) for m in mean), pa.array(mean[0] - mean[1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names)
+            for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket:
+                    if held:
+                        yield answered()
+                    held, bucket = [], b
+                held.append(row)
+        if held:
+            yield answered()
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (_, ids, grams, of, is_good) in enumerate(rows_of(batch)):
+                answers = batch.column(5)[k].as_py()
+                place = grams.inner
+                before, word, docs_ = grams.seq[place - 1], grams.seq[place], of[place]
+                # What the place's own document counts, of the word, of the word before it, and of both.
+                own_word = _own(of, grams.seq)
+                own = own_word[place - 1], own_word[place], _own(docs_, grams.pair)
+                tokens = np.bincount(docs_, minlength=len(ids))
+                loss = np.zeros((2, len(ids)))
+                for row, (name, size) in enumerate(zip("tn", reversed(sizes), strict=True)):
+                    total = np.zeros(len(grams.keys), np.int64)
+                    total[grams.order] = np.concatenate([_read(a[name]) for a in answers])
+                    out = is_good[docs_].astype(np.int64) if name == "t" else 1
+                    v, w, vw = total[before] - out * own[0], total[word] - out * own[1], total[grams.width :][grams.pair] - out * own[2]
+                    p = (w + 1.0) / (size - out * tokens[docs_] + vocabulary)
+                    loss[row] = np.bincount(docs_, -np.log((vw + MU * p) / (v + MU)), len(ids))
+                mean = loss / np.maximum(tokens, 1)
+                cols = [pa.array(tokens, pa.int64()), *(pa.array(m, pa.float64(), mask=tokens == 0) for m in mean), pa.array(mean[0] - mean[1])]
+                yield pa.RecordBatch.from_arrays([ids, *cols], names)
+
+    sent = both.mapInArrow(send, "bucket long, batch long, keys binary, n binary, t binary")
+    sums = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "bucket long, batch long, n binary, t binary")
+    answers = sums.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "t"))).alias("answers"))  # one from each bucket
     names = [id_col, "n_tokens", "target_loss", "background_loss", "score"]
-    return narrow.mapInArrow(judge, f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    kind = made.schema["ids"].dataType.elementType.simpleString()
+    return both.join(answers, "batch").mapInArrow(judge, f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
