@@ -55,28 +55,63 @@ def test_exact_dedup_keeps_columns_and_empty_tables(spark):
     assert exact_dedup.dedup(df.limit(0)).count() == exact_dedup.label(df.limit(0)).count() == 0
 
 
-def test_index_buckets_split_and_chains_compare_bytes(spark, monkeypatch):
+def test_index_buckets_split_and_hold_distinct_texts(spark):
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 400).alias("text"))
-    got = exact_dedup.index(df, capacity=4).collect()
+    got = [r for r in exact_dedup.index(df, capacity=4).collect() if r.number is None]
     assert len(got) == 400
     buckets = {}
     for r in got:
-        h = xxhash.xxh64_intdigest(r.text.encode())
-        assert f"{h:064b}".startswith(r["__tw_bucket"])
-        buckets.setdefault(r["__tw_bucket"], []).append(r)
+        assert f"{xxhash.xxh64_intdigest(r.c2.encode()):064b}".startswith(r.bucket)
+        buckets.setdefault(r.bucket, []).append(r)
     assert max(map(len, buckets.values())) <= 4
     assert not any(a != b and b.startswith(a) for a in buckets for b in buckets)
 
 
+def test_the_answer_comes_out_of_the_directory(spark, monkeypatch):
+    class Lost(exact_dedup.Directory):
+        def find(self, key, data):
+            return None  # a directory that finds nothing
+
+    df = frame(spark, [(i, f"text {i % 5}") for i in range(40)]).repartition(8)
+    assert exact_dedup.dedup(df).count() == 5
+    monkeypatch.setattr(exact_dedup, "Directory", Lost)
+    assert exact_dedup.dedup(df).count() > 5
+
+
+def test_texts_with_one_key_are_chained_and_told_apart_by_bytes(spark, monkeypatch):
+    class Constant:
+        xxh64_intdigest = staticmethod(lambda data: 5 if len(data) % 2 else 2**63)
+
+    monkeypatch.setattr(exact_dedup, "xxhash", Constant)
+    data = [(i, f"text {i % 25}") for i in range(90)]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.label(frame(spark, data).repartition(6)).collect()}
+    for i, t in data:
+        ids = [j for j, u in data if u == t]
+        assert got[i] == (max(ids), len(ids), i == max(ids))
+
+
+def test_labels_of_names_that_clash(spark):
+    names = ["key", "place", "ids", "number", "stays", "count", "c1", "c0", "bucket", "a.b", "__tw_key", "__tw_sha"]
+    df = spark.createDataFrame([(i, f"t{i % 3}") for i in range(9)], "doc_id long, text string").withColumns({n: F.col("doc_id") for n in names})
+    out = exact_dedup.dedup(df)
+    assert out.schema == df.schema and sorted(tuple(r) for r in out.collect()) == [(i, f"t{i % 3}", *[i] * len(names)) for i in (6, 7, 8)]
+    assert exact_dedup.label(df.select("key", F.col("text").alias("count")), "key", "count").where("kept").count() == 3
+
+
 def test_directory_doubles_and_chains_equal_keys():
     d = exact_dedup.Directory(0, capacity=2)
     done = []
     keys = sorted([1, 1, 1, 2**63, 2**63 + 1, 2**62, 5 << 60, 6 << 60])
-    for k in keys:
-        done += d.insert(k, k)
-    done += d.open
-    assert [k for b in done for k in b.keys] == keys
-    assert d.depth > 1 and all(len(set(b.keys)) <= 2 for b in done)
+    for i, k in enumerate(keys):
+        data = b"%d" % i
+        assert d.find(k, data) is None
+        done += d.closed(k)
+        d.insert(exact_dedup.Entry(k, data, 0, i, None, [i], 0))
+        assert d.find(k, data).best == i and all(d.find(k, b"%d" % j) is None for j in range(i + 1, 9))
+    done += d.closed(None)
+    assert [e.key for b in done for c in b.chains.values() for e in c] == keys
+    assert [e.place for b in done for e in b.chains.get(1, [])] == [0, 1, 2]
+    assert d.depth > 1 and all(len(b.chains) <= 2 for b in done)
 
 
 def brute(data, shingle=4, radius=4):

@@ -1,176 +1,212 @@
 """Exact deduplication over an extendible-hash index on shared files.
 
 Texts are equal when identical after lower-casing A-Z. A document's key is the 64-bit XXH64 of its normalised text.
-Owner tasks process key ranges: the key's first bits name the owner, and an owner reads its keys in order. Documents
-with one key form a chain; they are told apart by comparing bytes, so a collision of hashes only lengthens a chain.
-Each owner files the distinct texts in an extendible-hash directory: a bucket that overfills is split by the next
-bit of its keys, and if it was as deep as the directory, the directory doubles. Buckets left of the current key are
-final and written, so an owner holds one bucket. The index is a Parquet table in the shared folder.
+Owner tasks process key ranges: the key's first bits name the owner, and an owner gets its keys in order. For each
+document it probes its extendible-hash directory for the bucket, and the bucket for the chain of texts with that key,
+which are told apart by comparing bytes: a text that is there already is a copy, a new one is filed. A bucket that
+overfills is split by the next bit of its keys, and if it was as deep as the directory, the directory doubles. Buckets
+left of the current key are final and written, so an owner holds a bucket and not its range. The index is a Parquet
+table in the shared folder: one entry a distinct text, and beside the entries the ids of further copies as they come.
 
-Skew: copies within an Arrow batch are merged before the shuffle, so a group with a third of all rows reaches its
-owner as one row a batch, compared one by one and not held.
+Skew: copies within an Arrow batch are merged before the shuffle, by their bytes, and their ids sent as a list. So a
+group with a third of all rows reaches its owner as one row a batch, which is compared and passed on, not held.
 
 Cases: a null text counts as empty (and stays null where rows are returned). Of equal texts the row with the largest
 id stays; null ids come last. Of repeated rows (same id, equal text) one stays. An empty table gives an empty index.
-Other columns are those of the row that stays."""
+Very long texts are rows like others. Other columns are those of the row that stays, whatever their names."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import OWN, partitions, written
+from .common import numbered, partitions, written
 
-BUCKET = 1024
-KEY, SHA, COUNT, PREFIX, CHAIN = (OWN + x for x in ("key", "sha", "count", "bucket", "chain"))
+#: A bucket overfills beyond so many texts or so many bytes of them.
+BUCKET, BUCKET_BYTES = 1024, 16 << 20
 
 
 def normalised(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").lower()  # bytes.lower() changes A-Z only
 
 
+@dataclass
+class Entry:
+    """A distinct text: its copies' count, the row that stays (id, the list that brought it and its place there), and the first list of ids."""
+
+    key: int
+    data: bytes
+    place: int  # in the chain of its key
+    best: object
+    row: pa.RecordBatch
+    ids: list
+    at: int
+    list_no: int = 0
+    lists: int = 1
+    count: int = 0
+
+
+@dataclass
+class Bucket:
+    prefix: int
+    depth: int
+    chains: dict[int, list[Entry]] = field(default_factory=dict)
+    texts: int = 0
+    size: int = 0
+
+
 class Directory:
     """Extendible-hash directory over the bits of a key that follow the owner's. Keys come in ascending order."""
 
-    class Bucket:
-        def __init__(self, prefix: int, depth: int):
-            self.prefix, self.depth, self.keys, self.rows = prefix, depth, [], []
-
-    def __init__(self, owner_bits: int, capacity: int = BUCKET):
-        self.owner_bits, self.capacity, self.depth = owner_bits, capacity, 0
-        self.slots = [self.Bucket(0, 0)]
+    def __init__(self, owner_bits: int, capacity: int = BUCKET, capacity_bytes: int = BUCKET_BYTES):
+        self.owner_bits, self.capacity, self.capacity_bytes, self.depth = owner_bits, capacity, capacity_bytes, 0
+        self.slots = [Bucket(0, 0)]
         self.open = [self.slots[0]]  # not written yet, by prefix
 
     def slot(self, key: int) -> int:
         return ((key << self.owner_bits) & (2**64 - 1)) >> (64 - self.depth) if self.depth else 0
 
+    def find(self, key: int, data: bytes) -> Entry | None:
+        """The entry of a text, if it is filed."""
+        return next((e for e in self.slots[self.slot(key)].chains.get(key, ()) if e.data == data), None)
+
+    def insert(self, entry: Entry) -> None:
+        while True:
+            bucket = self.slots[self.slot(entry.key)]
+            full = bucket.texts >= self.capacity or bucket.size + len(entry.data) > self.capacity_bytes
+            # Equal keys can't be split: their chain may exceed the capacity.
+            if not full or bucket.depth >= 64 - self.owner_bits or not bucket.chains.keys() - {entry.key}:
+                break
+            self.split(bucket)
+        self.file(bucket, entry)
+
+    @staticmethod
+    def file(bucket: Bucket, entry: Entry) -> None:
+        chain = bucket.chains.setdefault(entry.key, [])
+        entry.place = len(chain)
+        chain.append(entry)
+        bucket.texts += 1
+        bucket.size += len(entry.data)
+
     def split(self, bucket: Bucket) -> None:
         if bucket.depth == self.depth:
             self.slots = [b for b in self.slots for _ in range(2)]
             self.depth += 1
-        halves = [self.Bucket(bucket.prefix * 2 + i, bucket.depth + 1) for i in range(2)]
+        halves = [Bucket(bucket.prefix * 2 + i, bucket.depth + 1) for i in range(2)]
         span = 1 << (self.depth - bucket.depth)
         first = bucket.prefix * span
         for i in range(span):
             self.slots[first + i] = halves[i >= span // 2]
-        for key, row in zip(bucket.keys, bucket.rows, strict=True):
-            half = self.slots[self.slot(key)]
-            half.keys.append(key), half.rows.append(row)
+        for key, chain in bucket.chains.items():
+            for entry in chain:
+                self.file(self.slots[self.slot(key)], entry)
         at = self.open.index(bucket)
         self.open[at : at + 1] = halves
 
-    def insert(self, key: int, row: object) -> list[Bucket]:
-        """Files a row; returns the buckets that are final now."""
-        while True:
-            bucket = self.slots[self.slot(key)]
-            # Equal keys can't be split: their chain may exceed the capacity.
-            if len(bucket.keys) < self.capacity or bucket.keys[0] == key == bucket.keys[-1] or bucket.depth >= 64 - self.owner_bits:
-                break
-            self.split(bucket)
-        bucket.keys.append(key), bucket.rows.append(row)
-        at = self.open.index(bucket)
+    def closed(self, key: int | None) -> list[Bucket]:
+        """The buckets left of a key, or all: they are final."""
+        at = len(self.open) if key is None else self.open.index(self.slots[self.slot(key)])
         done, self.open = self.open[:at], self.open[at:]
+        for bucket in done:  # what is written need not be held
+            span = 1 << (self.depth - bucket.depth)
+            self.slots[bucket.prefix * span : (bucket.prefix + 1) * span] = [None] * span
         return done
 
 
-def _hashed(docs: DataFrame, text_col: str, merge: bool) -> DataFrame:
-    """docs with KEY and SHA; merge: of equal texts in a batch only the row with the largest id, and COUNT."""
-    names = docs.columns
-    at, id_at = names.index(text_col), 0
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [normalised(x) for x in batch.column(at).to_pylist()]
-            shas = [hashlib.sha256(x).digest() for x in texts]
-            extra = [pa.array([xxhash.xxh64_intdigest(x) - 2**63 for x in texts], pa.int64()), pa.array(shas, pa.binary())]
-            if merge:
-                ids, kept, count = batch.column(id_at).to_pylist(), {}, {}
-                for i, sha in enumerate(shas):
-                    j = kept.get(sha)
-                    count[sha] = count.get(sha, 0) + 1
-                    if j is None or ids[j] is None or (ids[i] is not None and ids[i] > ids[j]):
-                        kept[sha] = i
-                take = pa.array(list(kept.values()), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in [*batch.columns, *extra]), pa.array([count[s] for s in kept], pa.int64())], [*names, KEY, SHA, COUNT])
-            else:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, KEY, SHA])
-
-    fields = [*docs.schema.fields, T.StructField(KEY, T.LongType()), T.StructField(SHA, T.BinaryType())]
-    return docs.mapInArrow(add, T.StructType(fields + [T.StructField(COUNT, T.LongType())] * merge))
-
-
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET) -> DataFrame:
-    """The distinct texts of docs, one row each: the columns of the row that stays, the group's COUNT, its KEY (shifted
-    into signed range), SHA, bucket PREFIX (its bits) and place in the CHAIN of its key."""
-    spark = docs.sparkSession
-    cols = [id_col, *(c for c in docs.columns if c != id_col)]
+    """A table of entries and further lists. An entry, one a distinct text: c1, c2, ... (the columns of the row that stays),
+    key (shifted into signed range), place in its chain, bucket (the prefix of its bits), ids (the first list), stays
+    (number of the list that holds the row that stays, and its place there), count and text_sha256. A further list: key,
+    place, ids and number."""
+    spark, names = docs.sparkSession, docs.columns
+    rows = numbered(docs, text_col, names)
+    id_at = names.index(id_col) + 1
+    kind = rows.schema[id_at].dataType
     bits = max(1, (partitions(spark) - 1).bit_length())
-    hashed = _hashed(docs.select(*cols), text_col, merge=True)
-    owner = F.shiftrightunsigned(F.col(KEY).bitwiseXOR(F.lit(-(2**63))), 64 - bits).cast("int")
-    ranges = hashed.repartitionById(1 << bits, owner).sortWithinPartitions(KEY)
-    at, key_at, sha_at, n_at = cols.index(text_col), len(cols), len(cols) + 1, len(cols) + 2
-    out_names = [*hashed.columns, PREFIX, CHAIN]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a distinct text of a batch: the row with the largest id, its key, its place and all ids."""
+        for batch in batches:
+            ids, found = batch.column(id_at).to_pylist(), {}
+            for i, text in enumerate(batch.column(0)):
+                found.setdefault(normalised(text.as_py()), []).append(i)
+            best = [max(at, key=lambda i: (ids[i] is not None, ids[i])) if len(at) > 1 else at[0] for at in found.values()]
+            keys = pa.array([xxhash.xxh64_intdigest(data) - 2**63 for data in found], pa.int64())
+            lists = pa.array([[ids[i] for i in at] for at in found.values()], pa.list_(batch.schema.field(id_at).type))
+            took = batch.take(pa.array(best, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*took.columns, keys, lists, pa.array([at.index(b) for at, b in zip(found.values(), best, strict=True)], pa.int32())], [*took.schema.names, "key", "ids", "at"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    ids_type = f"array<{kind.simpleString()}>"
+    merged = rows.mapInArrow(merge, f"{schema}, key long, ids {ids_type}, at int")
+    owner = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(2**63))), 64 - bits).cast("int")
+    ranges = merged.repartitionById(1 << bits, owner).sortWithinPartitions("key")
+    n = len(names) + 1
+    out = ["key", "place", "ids", "number", "stays", "stays_at", "count", "bucket", "text_sha256"]
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        directory, now, chain = None, None, []  # chain: [bytes, id, one-row batch, count]
-
-        def filed(final: bool = False) -> Iterator[pa.RecordBatch]:
-            nonlocal directory
-            done = []
-            if chain:
-                first = now >> (64 - bits)
-                if directory is None or directory[0] != first:
-                    done += [(directory[0], b) for b in directory[1].open] if directory else []
-                    directory = (first, Directory(bits, capacity))
-                for place, entry in enumerate(chain):
-                    done += [(first, b) for b in directory[1].insert(now, (place, entry))]
-            if final and directory:
-                done += [(directory[0], b) for b in directory[1].open]
-            for first, bucket in done:
-                if bucket.rows:
-                    rows = pa.Table.from_batches([e[2] for _, e in bucket.rows]).combine_chunks().to_batches()[0]
+        directory, first, id_type, types = None, None, None, None
+
+        def entries(done: list[Bucket]) -> Iterator[pa.RecordBatch]:
+            for bucket in done:
+                filed = [e for chain in bucket.chains.values() for e in chain]
+                if filed:
+                    kept = pa.Table.from_batches([e.row for e in filed]).combine_chunks().to_batches()[0]
                     prefix = f"{first:0{bits}b}" + (f"{bucket.prefix:0{bucket.depth}b}" if bucket.depth else "")
-                    yield pa.RecordBatch.from_arrays([*rows.columns[:n_at], pa.array([e[3] for _, e in bucket.rows], pa.int64()), pa.array([prefix] * len(bucket.rows)), pa.array([p for p, _ in bucket.rows], pa.int32())], out_names)
+                    cols = [pa.array([e.key - 2**63 for e in filed], pa.int64()), pa.array([e.place for e in filed], pa.int32()), pa.array([e.ids for e in filed], id_type), pa.nulls(len(filed), pa.int64())]
+                    cols += [pa.array([e.list_no for e in filed], pa.int64()), pa.array([e.at for e in filed], pa.int32()), pa.array([e.count for e in filed], pa.int64())]
+                    cols += [pa.array([prefix] * len(filed)), pa.array([hashlib.sha256(e.data).hexdigest() for e in filed])]
+                    yield pa.RecordBatch.from_arrays([*kept.columns, *cols], [*kept.schema.names, *out])
 
         for batch in batches:
-            for i, (key, doc, text, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in (key_at, 0, at, n_at)), strict=True)):
+            types, id_type = batch.schema, batch.schema.field(n + 1).type
+            further = []  # (key, place, ids, number) of copies
+            for i, (key, text, at) in enumerate(zip(batch.column(n).to_pylist(), batch.column(0), batch.column(n + 2).to_pylist(), strict=True)):
                 key += 2**63
-                if key != now:
-                    yield from filed()
-                    now, chain = key, []
-                data = normalised(text)
-                same = next((e for e in chain if e[0] == data), None)
-                if same is None:
-                    chain.append([data, doc, batch.slice(i, 1), n])
+                if directory is None or first != key >> (64 - bits):
+                    yield from entries(directory.closed(None) if directory else [])
+                    directory, first = Directory(bits, capacity), key >> (64 - bits)
+                data, ids = normalised(text.as_py()), batch.column(n + 1)[i].as_py()
+                entry = directory.find(key, data)
+                if entry is None:
+                    yield from entries(directory.closed(key))
+                    entry = Entry(key, data, 0, ids[at], batch.slice(i, 1).select(range(1, n)), ids, at)
+                    directory.insert(entry)
                 else:
-                    same[3] += n
-                    if same[1] is None or (doc is not None and doc > same[1]):
-                        same[1:3] = doc, batch.slice(i, 1)
-        yield from filed(final=True)
-
-    fields = [*hashed.schema.fields, T.StructField(PREFIX, T.StringType()), T.StructField(CHAIN, T.IntegerType())]
-    return written(ranges.mapInArrow(own, T.StructType(fields)), "extendible-hash")
+                    further.append((key - 2**63, entry.place, ids, entry.lists))
+                    if ids[at] is not None and (entry.best is None or ids[at] > entry.best):
+                        entry.best, entry.row, entry.list_no, entry.at = ids[at], batch.slice(i, 1).select(range(1, n)), entry.lists, at
+                    entry.lists += 1
+                entry.count += len(ids)
+            if further:
+                key, place, ids, number = zip(*further, strict=True)
+                cols = [pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(list(ids), id_type), pa.array(number, pa.int64())]
+                cols = [*(pa.nulls(len(key), types.field(c).type) for c in range(1, n)), *cols, *(pa.nulls(len(key), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(cols, [*types.names[1:n], *out])
+        yield from entries(directory.closed(None) if directory else [])
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return written(ranges.mapInArrow(own, f"{kept}, key long, place int, ids {ids_type}, number long, stays long, stays_at int, count long, bucket string, text_sha256 string"), "extendible-hash")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with the columns of docs: the index holds them."""
-    return index(docs, id_col, text_col).select(*docs.columns)
+    return index(docs, id_col, text_col).where("number IS NULL").select(*(f"c{i}" for i in range(1, len(docs.columns) + 1))).toDF(*docs.columns)
 
 
 def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document, dropped ones too: id, keep_id, group_size, kept, text_sha256. docs is read a second time for
-    its hashes, which are looked up in the index."""
-    narrow = docs.select(id_col, text_col)
-    entries = index(narrow, id_col, text_col).where(F.col(COUNT) > 1).select(SHA, F.col(id_col).alias("keep_id"), F.col(COUNT).alias("group_size"))
-    rows = _hashed(narrow, text_col, merge=False).select(id_col, SHA)
-    found = rows.join(entries, SHA, "left").select(id_col, F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), SHA)
-    # Repeated rows share id and text: one of them stays. Only ids that stay can repeat so.
-    stays = found.where(F.col(id_col).eqNullSafe(F.col("keep_id"))).withColumn("kept", F.row_number().over(Window.partitionBy(id_col, SHA).orderBy("group_size")) == 1)
-    goes = found.where(~F.col(id_col).eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False))
-    return stays.unionByName(goes).select(id_col, "keep_id", "group_size", "kept", F.lower(F.hex(SHA)).alias("text_sha256"))
+    """One row a document, dropped ones too: id, keep_id, group_size, kept, text_sha256. The index has them all: an entry's
+    own list, and further lists, which meet their entry by key and place."""
+    made = index(docs.select(id_col, text_col), id_col, text_col)
+    entries = made.where("number IS NULL").select("key", "place", F.col("c1").alias("keep_id"), F.col("count").alias("group_size"), "stays", "stays_at", "text_sha256", "ids")
+    copies = made.where("number IS NOT NULL").select("key", "place", F.col("ids").alias("more"), "number")
+    later = copies.join(entries.where(F.col("group_size") > F.size("ids")).drop("ids"), ["key", "place"])
+    all_ = entries.withColumn("number", F.lit(0).cast("long")).unionByName(later.withColumnRenamed("more", "ids"))
+    rows = all_.select(F.posexplode("ids").alias("at", "id"), "keep_id", "group_size", ((F.col("number") == F.col("stays")) & (F.col("at") == F.col("stays_at"))).alias("kept"), "text_sha256")
+    return rows.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
