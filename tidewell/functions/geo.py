@@ -60,10 +60,10 @@ def jitter(seed: Column, axis: str, spread: int) -> Column:
 
 def map_position(neighborhood: Column, lat: Column, lng: Column, seed: Column) -> Column:
     """struct(x, y) on the drawn map: the neighbourhood's centroid, else a linear fit of the position, else the centre."""
-    at = F.create_map(*(F.lit(v) for n, (x, y) in CENTROIDS.items() for v in (n, x * 10_000 + y)))
-    code = F.try_element_at(at, F.lower(F.coalesce(neighborhood, F.lit(""))))
+    at = F.create_map(*(c for n, (x, y) in CENTROIDS.items() for c in (F.lit(n), F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")))))
+    centre = F.try_element_at(at, F.lower(F.coalesce(neighborhood, F.lit(""))))
     fit = lambda v, low, high: F.greatest(F.lit(low), F.least(F.lit(high), F.round(v).cast("int")))
     known = lat.isNotNull() & lng.isNotNull()
-    x = F.when(code.isNotNull(), F.floor(code / 10_000).cast("int") + jitter(seed, "x", 60)).when(known, fit((lng - 24.65) / 0.22 * 1500 + 200, 100, 1700)).otherwise(F.lit(900) + jitter(seed, "x", 200))
-    y = F.when(code.isNotNull(), (code % 10_000).cast("int") + jitter(seed, "y", 60)).when(known, fit((59.475 - lat) / 0.07 * 850 + 200, 100, 1100)).otherwise(F.lit(700) + jitter(seed, "y", 200))
+    x = F.when(centre.isNotNull(), centre["x"] + jitter(seed, "x", 60)).when(known, fit((lng - 24.65) / 0.22 * 1500 + 200, 100, 1700)).otherwise(F.lit(900) + jitter(seed, "x", 200))
+    y = F.when(centre.isNotNull(), centre["y"] + jitter(seed, "y", 60)).when(known, fit((59.475 - lat) / 0.07 * 850 + 200, 100, 1100)).otherwise(F.lit(700) + jitter(seed, "y", 200))
     return F.struct(x.alias("x"), y.alias("y"))

@@ -20,7 +20,7 @@ FILLER = [
 ]
 # Placeholders that stand for no value.
 NO_TEXT = r"(?i)^(tba|tbc|n/a|none|null|-|—)$"
-NO_FIELD = r"(?i)^(unknown|tba|tbc|n/a|other|none|null|-)$"
+NO_FIELD = r"(?i)^(unknown|tba|tbc|n/a|none|null|other|-)$"
 NO_VENUE = r"^(various|various venues|multiple|tbd|tba|tonight|see telegram|unknown)\.*$"
 # Moods that a pick may carry.
 MOODS = ["quiet", "loud", "indoors", "outdoors", "solo", "social", "drinks", "sober", "walk-up", "ticketed"]

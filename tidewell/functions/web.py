@@ -40,9 +40,14 @@ def platform(url: Column) -> Column:
     return F.coalesce(*(F.when(h.rlike(rf"(^|\.){p}$"), F.lit(name)) for p, name in PLATFORMS))
 
 
+# What is said of a listing's origin, and how a number in a price is written.
+OWN_DESK, TICKETING, VENUE_PAGE = "Filed by our own desk", "The ticketing listing", "The venue's own page"
+PRICE_NUMBER = r"(\d+(?:[.,]\d{1,2})?)"
+
+
 def provenance(link: Column) -> Column:
     h = F.split_part(F.regexp_replace(F.coalesce(link, F.lit("")), r"^https?://(www\.)?", ""), F.lit("/"), F.lit(1))
-    return F.when(F.coalesce(link, F.lit("")) == "", "Filed by our own desk").when(h.rlike(TICKET_HOSTS), "The ticketing listing").otherwise("The venue's own page")
+    return F.when(F.coalesce(link, F.lit("")) == "", OWN_DESK).when(h.rlike(TICKET_HOSTS), TICKETING).otherwise(VENUE_PAGE)
 
 
 def safe_url(url: Column) -> Column:
@@ -81,7 +86,7 @@ def parse_price(raw: Column) -> Column:
     """struct(is_free, price_min, price_max, currency, price_text) from a price as written; all null from nothing."""
     t = F.nullif(F.trim(raw), F.lit(""))
     free = t.rlike(FREE_WORDS)
-    found = F.transform(F.regexp_extract_all(t, F.lit(r"(\d+(?:[.,]\d{1,2})?)"), 1), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
+    found = F.transform(F.regexp_extract_all(t, F.lit(PRICE_NUMBER), 1), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
     numbers = F.when(t.isNotNull() & ~free & (F.size(found) > 0), found)
     return F.struct(
         F.when(free, True).when(numbers.isNotNull(), False).alias("is_free"),

@@ -41,8 +41,13 @@ def now() -> Column:
 
 
 def shared(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidewell"
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share; without spark.checkpoint.dir only on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/tidewell"
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 # --- ranks -----------------------------------------------------------------------------------------------------------
@@ -591,9 +596,10 @@ def hash53(spark, d):
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
-def _event_stream(spark, d):
+def _event_stream(spark, d, per_trigger=None):
+    """The table as a stream, be it one file or a folder of part files: a plain path must be a folder, a pattern needn't."""
     schema = t(spark, d, "events").schema
-    return queue.read_files(spark, d, schema, pattern="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return queue.read_files(spark, f"{d}/events[.]parquet", schema, per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
@@ -607,21 +613,12 @@ def stream_watermark(spark, d):
 def stream_tumbling(spark, d):
     out = shared(spark)
     counts = queue.windowed_counts(_event_stream(spark, d), "ts", ["event_type"], "1 hour")
-
-    def each(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/state/{n}")
-
-    queue.run_batches(counts, each, f"{out}/mark", "complete")
-    last = spark.read.parquet(f"{out}/state/0")
+    last = queue.run_complete(counts, f"{out}/state", f"{out}/mark")
     return last.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY 1")
 def stream_heartbeats(spark, d):
     out = shared(spark)
-
-    def each(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/state/{n}")
-
-    queue.run_batches(queue.heartbeats(_event_stream(spark, d), "user_id", "ts"), each, f"{out}/mark", "complete")
-    return spark.read.parquet(f"{out}/state/0").select("user_id", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
+    last = queue.run_complete(queue.heartbeats(_event_stream(spark, d), "user_id", "ts"), f"{out}/state", f"{out}/mark")
+    return last.select("user_id", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))

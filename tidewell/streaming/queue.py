@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -55,6 +56,23 @@ def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoin
     return q
 
 
+def run_complete(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Works off what is there; the state after the last batch. Each batch writes the whole state under its number, so one
+    that is replayed writes the same again, and a run without anything new has the state of the run before."""
+    spark = df.sparkSession
+
+    def each(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    run_batches(df, each, checkpoint, "complete")
+    names = df.columns
+    try:
+        states = spark.read.parquet(path)
+    except AnalysisException:  # there has been no batch at all
+        return spark.createDataFrame([], df.schema)
+    return states.join(F.broadcast(states.agg(F.max("batch").alias("batch"))), "batch").select(*names)
+
+
 def upsert_batches(stream: DataFrame, state_path: str, keys: list[str], order: list[Column], checkpoint: str) -> None:
     """Keeps a table of each key's latest row. Each batch writes the state anew under its number, so a batch that is
     replayed writes the same state again."""
