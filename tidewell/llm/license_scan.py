@@ -5,17 +5,20 @@ Words are the runs of digits, letters a-z (after lower-casing A-Z) and character
 Base phrases: all places where a phrase's words stand consecutively, found by string functions on the text's words,
 each written between spaces of its own.
 
-Templates: a block (a line) matches a license template if it holds at least `threshold` of the template's distinct
-words. The join: template words are ordered by how many blocks of the whole table hold them, rarest first. A block that
+Templates: a block matches a license template if it holds at least `threshold` of the template's distinct words. A block
+is a run of `span` adjacent lines (all, if a text has fewer), so a template is found however it is wrapped within these.
+The join: template words are ordered by how many documents of the whole table hold them, rarest first. A block that
 reaches the threshold must share a word with the template's prefix, its first |T| - ceil(threshold * |T|) + 1 words
 (prefix filter); it must have at least ceil(threshold * |T|) words of templates (length filter); and if the first
 shared word stands at position p of the order, at most |T| - p words can be shared (positional filter). What passes is
-verified in full. The index from prefix words to templates is a literal map, as templates are a parameter, so the join
+verified in full. Whole texts go through the same filters first: where no template's words are all in a text, its lines
+are not looked at. The index from prefix words to templates is a literal map, as templates are a parameter, so the join
 needs no shuffle: only the counts for the word order are aggregated, one row a template word.
 
 Cases: null counts as empty; texts without words have no labels and score 0. Repeated rows each get an answer. An empty
-table gives an empty result; extra columns are dropped. A word that no block holds is rarest of all; words held equally
-often are ordered by text. Phrases that overlap themselves are refused."""
+table gives an empty result; extra columns are dropped. A word that no document holds is rarest of all; words held
+equally often are ordered by text. Without templates only phrases are found. Phrases that overlap themselves are
+refused. A very long text without line ends is one line and so one block."""
 
 from __future__ import annotations
 
@@ -26,16 +29,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: label -> texts by which public licenses are commonly named or begin.
+# Label -> texts by which public licenses are commonly named, and what they say, by paragraphs.
 TEMPLATES = {
-    "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "apache-2": ["Licensed under the Apache License, Version 2.0"],
+    "mit": [
+        "Released under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "apache-2": [
+        "Licensed under the Apache License, Version 2.0",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by": ["Creative Commons Attribution 4.0 International License"],
-    "gpl-3": ["This work is licensed under the GNU General Public License, version 3"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "gpl-3": [
+        "This work is licensed under the GNU General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "mpl-2": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
 }
+#: Lines of a block.
+SPAN = 10
 THRESHOLD = 0.8
 #: What stands between words; and the same but for line ends.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,13 +88,19 @@ def words_of(text: str) -> list[str]:
     return re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
-def _line_words(lines: Column, known: list[str]) -> Column:
-    """Of each line the known words that it holds."""
-    literal = F.array(*(F.lit(w) for w in known))
-    return F.transform(F.split(lines, "\n"), lambda line: F.array_intersect(literal, F.split(line, " ")))
+def _known_words(text: Column, known: Column) -> Column:
+    """Of a text of words between spaces, those that are known."""
+    return F.array_intersect(known, F.split(text, " "))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def _blocks(lines: Column, known: Column, span: int) -> Column:
+    """Of each run of adjacent lines the known words that it holds."""
+    by_line = F.transform(F.split(lines, "\n"), lambda line: _known_words(line, known))
+    runs = lambda words: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - span + 1)), lambda i: F.array_distinct(F.flatten(F.slice(words, i, span))))
+    return F.get(F.transform(F.array(by_line), runs), F.lit(0))  # the lines' words are found once
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, span: int = SPAN) -> DataFrame:
     """Every document: id, n_words, n_base, first_word, last_word, base_labels, labels, score (1 with a base phrase;
     else the largest share of a matching template that a block holds; else 0)."""
     phrases = {" ".join(words_of(p)): label for p, label in (PHRASES if phrases is None else phrases).items()}
@@ -76,12 +108,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         raise ValueError("a phrase that overlaps itself")
     flat = [(label, sorted(set(words_of(t)))) for label, texts in (TEMPLATES if templates is None else templates).items() for t in texts]
     known = sorted({w for _, ws in flat for w in ws})
+    strings = lambda ws: F.array(*(F.lit(w) for w in ws)).cast("array<string>")
+    literal = strings(known)
     lines = docs.select(F.col(id_col).alias("id"), F.regexp_replace(_lower(F.col(text_col)), GAP_IN_LINE, " ").alias("lines"))
-    held = lines.select(F.explode(F.flatten(_line_words(F.col("lines"), known))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    held_by = {r["word"]: r["n"] for r in held.collect()}  # at most one row a template word
+    lines = lines.withColumn("inner", F.trim(F.regexp_replace("lines", "[ \n]+", " ")))
+    held = lines.select(F.explode(_known_words(F.col("inner"), literal)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    held_by = {r["word"]: r["n"] for r in held.collect()} if known else {}  # at most one row a template word
     index: dict[str, list[Column]] = {}
     least = min((math.ceil(threshold * len(ws) - 1e-9) for _, ws in flat), default=1)
-    strings = lambda ws: F.array(*(F.lit(w) for w in ws)).cast("array<string>")
     for label, ws in flat:
         ranked = sorted(ws, key=lambda w: (held_by.get(w, 0), w))
         need = math.ceil(threshold * len(ws) - 1e-9)
@@ -90,6 +124,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
             index.setdefault(w, []).append(entry)
     by_word = F.create_map(*(x for w, entries in index.items() for x in (F.lit(w), F.array(*entries))))
     prefix = strings(sorted(index))
+    none_found = F.array().cast("array<struct<label:string,share:double>>")
 
     def matches(block: Column) -> Column:
         def fits(t: Column) -> Column:
@@ -99,13 +134,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         shown = lambda t: F.struct(t["label"].alias("label"), (F.size(F.array_intersect(t["words"], block)) / F.size(t["words"])).alias("share"))
         return F.flatten(F.transform(F.array_intersect(prefix, block), lambda w: F.transform(F.filter(by_word[w], fits), shown)))
 
-    blocks = F.filter(_line_words(F.col("lines"), known), lambda b: F.size(b) >= least)
-    inner = F.trim(F.regexp_replace("lines", "[ \n]+", " "))
-    rows = lines.select("id", F.when(inner == "", "").otherwise(F.concat(F.lit(" "), F.replace(inner, F.lit(" "), F.lit("  ")), F.lit(" "))).alias("w"), blocks.alias("blocks"))
+    whole = _known_words(F.col("inner"), literal)
+    rows = lines.select("id", "lines", "inner", (matches(whole) if flat else none_found).alias("possible"))
+    blocks = F.filter(_blocks(F.col("lines"), literal, span), lambda b: F.size(b) >= least)
+    found = F.when(F.size("possible") > 0, F.flatten(F.transform(blocks, matches))).otherwise(none_found) if flat else none_found
+    spaced = F.when(F.col("inner") == "", "").otherwise(F.concat(F.lit(" "), F.replace(F.col("inner"), F.lit(" "), F.lit("  ")), F.lit(" ")))
+    rows = rows.select("id", spaced.alias("w"), found.alias("found"))
     w = F.col("w")
     marks = {p: "".join(f" {x} " for x in p.split()) for p in phrases}
-    rows = rows.select("id", "w", "blocks", _n_words(w).alias("n_words"), *(_count(w, m).alias(f"n{i}") for i, m in enumerate(marks.values())))
-    rows = rows.withColumn("found", F.flatten(F.transform("blocks", matches)))
+    rows = rows.select("id", "w", "found", _n_words(w).alias("n_words"), *(_count(w, m).alias(f"n{i}") for i, m in enumerate(marks.values())))
 
     def first(m: str) -> Column:
         at = F.locate(m, w)
