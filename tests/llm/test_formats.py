@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,24 @@ def test_reputation_shrinks_from_host_to_suffix(spark):
     assert got["few.site.example"].bad_bound > got["good.site.example"].bad_bound
 
 
+def test_suffixes_ports_and_addresses(spark):
+    names = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "uk"), "b.co.uk:8080": ("b.co.uk", "co.uk"), "x.y.com:81": ("y.com", "com"), "com": ("com", "com"), "10.0.0.4": ("10.0.0.4", "numeric"), "10.0.0.4:80": ("10.0.0.4", "numeric"), "[::1]:80": ("[::1]", "numeric"), "": ("", ""), "a.b.city.zz": ("city.zz", "zz"), "x.city.zz": ("city.zz", "zz")}
+    hosts = spark.createDataFrame([(h,) for h in names], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in url_filter.named(hosts).collect()}
+    assert got == names
+    rules = spark.createDataFrame([("co.uk",), ("city.zz",), ("zz",)], "rule string")
+    listed = {r.host: (r.domain, r.suffix) for r in url_filter.named(hosts, rules).collect()}
+    assert listed == names | {"a.b.city.zz": ("b.city.zz", "city.zz"), "x.city.zz": ("x.city.zz", "city.zz")}
+
+
+def test_a_bad_domain_does_not_taint_its_suffix(spark):
+    bad = [(f"http://shop.bad{k}.co.uk/{i}", True) for k in ("", "2") for i in range(100)]
+    fine = [(f"http://fine{k}.co.uk/{i}", False) for k in range(40) for i in range(3)]
+    outcomes = spark.createDataFrame(bad + fine, "url string, bad boolean")
+    pages = spark.createDataFrame([(i, f"http://{h}/" + "x" * (100_000 if i == 3 else 0)) for i, h in enumerate(["shop.bad.co.uk", "new.bad2.co.uk", "good.co.uk", "new.co.uk"])], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages, outcomes, rules=[]).collect()} == {0: "block", 1: "block", 2: "allow", 3: "allow"}
+
+
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 
@@ -66,8 +85,9 @@ def brute(text):
     places = [(k, label) for p, label in PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
     labels = {label for _, label in places}
     more, best = set(labels), 0.0
-    for line in (text or "").split("\n"):
-        block = set(license_scan.words_of(line))
+    lines = (text or "").split("\n")
+    for i in range(max(1, len(lines) - license_scan.SPAN + 1)):
+        block = set(license_scan.words_of(" ".join(lines[i : i + license_scan.SPAN])))
         for label, texts in license_scan.TEMPLATES.items():
             for t in texts:
                 ws = set(license_scan.words_of(t))
@@ -81,6 +101,8 @@ def brute(text):
 
 def test_license_scan_matches_brute_force(spark):
     texts = [None, "", "...", "Released under the MIT License.", "under the\nMIT-license under the mit license", "cc-by-nc cc by nc CC BY NC 4.0", "Licensed under the Apache License, Version 2.0.\nx\nThis work is licensed under the GNU General Public License, version 3.", "under the mit licenses", "thunder the mit license", "ünder the mit license", "under the miT license", "under the mit licenſe \u212a K", "permission granted free of charge to any person obtaining a copy of this software and associated documentation files hereby is", "a " * 5000 + "under the mit license", "0 under_the_mit_license 9", "\x00under\x1fthe\x7fmit license\u3000"]
+    texts += ["\n".join(textwrap.wrap(t, width, initial_indent=sign, subsequent_indent=sign)) for ts in license_scan.TEMPLATES.values() for t in ts for width, sign in ((75, "# "), (50, " * "))]
+    texts += ["some text\n" * 30 + texts[-3] + "\nmore text" * 30, texts[-4].replace("\n", "\n\n\n\n\n\n\n\n\n\n\n")]
     df = spark.createDataFrame([(i, t, "q") for i, t in enumerate(texts)] + [(3, texts[3], "q"), (None, "cc by nc", "q")], "doc_id long, text string, w string")
     got = license_scan.scan(df).collect()
     assert len(got) == len(texts) + 2
@@ -88,5 +110,11 @@ def test_license_scan_matches_brute_force(spark):
         want = brute("cc by nc" if r.doc_id is None else texts[r.doc_id])
         assert tuple(r)[1:-1] == want[:-1] and r.score == pytest.approx(want[-1])
     assert license_scan.scan(df.limit(0)).count() == 0
+    by = {r.doc_id: r.labels for r in got}
+    for i, t in enumerate(texts[:-2]):  # real headers are wrapped
+        if t and t.startswith(("# ", " * ")):
+            assert by[i]
+    none = {r.doc_id: r for r in license_scan.scan(df, templates={}).collect()}
+    assert none[3].labels == none[3].base_labels == "mit" and none[6].labels == "" and none[12].score == 0
     with pytest.raises(ValueError):
         license_scan.scan(df, phrases={"a b a": "x"})

@@ -35,6 +35,7 @@ def test_whole_tables(spark, name):
 def odd(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("odd"))
     texts = [None, "", "under the MIT license under the mit license", "cc by nc\ncc by", "Licensed under the Apache License, Version 2\nx", "ünder the mit license", "Permission granted free of charge any person obtaining a copy of this software and associated documentation files to hereby"]
+    texts += ["# Permission is hereby granted, free of charge, to any\n# person obtaining a copy of this software and\n# associated documentation files", "x\n" * 40 + "Redistribution and use in source and binary\nforms, with or without modification, are\npermitted provided that the following\nconditions are met" + "\ny" * 40]
     spark.createDataFrame(list(enumerate(texts)) + [(2, texts[2]), (9, "UNDER the mit license under the mit license")], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
     urls = ["http://a.example.com/en/7", "http://A.b.c.example.com/en/1?x", "http://x.net/de/8", None, "", "no scheme", "http:///en/3", "s://h", "http://org/es/2", "http://a..b/en/4", "http://q.test/en/1", "http://q.test/en/3", "http://r.test/fr/5"]
     spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)] + [(1, urls[1], ""), (None, urls[0], "")], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")

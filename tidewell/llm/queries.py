@@ -106,7 +106,14 @@ def _shrunk_sql(level: str, above: str, on: str) -> str:
 
 _HOST = f"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {UPPER_LOWER})"
 _PATH = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
-_DOMAIN, _SUFFIX = "regexp_extract(host, '(?:[^.]*[.])?[^.]*$')", "regexp_extract(host, '[^.]*$')"
+#: Host without its port; how many labels its suffix has.
+_NAME = "regexp_replace(host, ':[0-9]*$', '')"
+_NUMERIC = f"regexp_matches({_NAME}, '^([0-9]{{1,3}}[.]){{3}}[0-9]{{1,3}}$|^\\[.*\\]$')"
+_TWO = " OR ".join(f"ends_with({_NAME}, '.{s}')" for s in url_filter.SUFFIXES)
+_SUFFIX = f"CASE WHEN {_NUMERIC} THEN '{url_filter.NUMERIC}' WHEN {_TWO} THEN regexp_extract({_NAME}, '[^.]*[.][^.]*$') ELSE regexp_extract({_NAME}, '[^.]*$') END"
+_DOMAIN = f"CASE WHEN {_NUMERIC} THEN {_NAME} WHEN {_TWO} THEN regexp_extract({_NAME}, '(?:[^.]*[.])?[^.]*[.][^.]*$') ELSE regexp_extract({_NAME}, '(?:[^.]*[.])?[^.]*$') END"
+
+_MEAN = "({0}.a / ({0}.a + {0}.b))"
 
 OP2_SQL = f"""
 WITH urls AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
@@ -117,8 +124,9 @@ s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY 1),
 every AS (SELECT coalesce(sum(k), 0) + 0.5 AS a, coalesce(sum(n), 0) - coalesce(sum(k), 0) + 0.5 AS b FROM s),
 {_shrunk_sql("s", "every", "true")}, {_shrunk_sql("d", "s_p", "l.suffix = u.suffix")}, {_shrunk_sql("h", "d_p", "l.domain = u.domain")},
 names AS (SELECT DISTINCT host, {_DOMAIN} AS domain, {_SUFFIX} AS suffix FROM urls),
-post AS (SELECT names.host, coalesce(h_p.a, d_p.a, s_p.a, every.a) AS a, coalesce(h_p.b, d_p.b, s_p.b, every.b) AS b
-  FROM names LEFT JOIN h_p ON h_p.host = names.host LEFT JOIN d_p ON d_p.domain = names.domain LEFT JOIN s_p ON s_p.suffix = names.suffix, every),
+post AS (SELECT names.host, coalesce(h_p.a, {_MEAN.format("d_p")} * h_w.w, {_MEAN.format("s_p")} * least(h_w.w, d_w.w), {_MEAN.format("every")} * least(h_w.w, d_w.w, s_w.w)) AS a,
+  coalesce(h_p.b, (1 - {_MEAN.format("d_p")}) * h_w.w, (1 - {_MEAN.format("s_p")}) * least(h_w.w, d_w.w), (1 - {_MEAN.format("every")}) * least(h_w.w, d_w.w, s_w.w)) AS b
+  FROM names LEFT JOIN h_p ON h_p.host = names.host LEFT JOIN d_p ON d_p.domain = names.domain LEFT JOIN s_p ON s_p.suffix = names.suffix, every, h_w, d_w, s_w),
 bounds AS (SELECT host, a / (a + b) - {url_filter.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM post),{_rules_sql()}
 SELECT u.page_id, u.host, u.path, l.rule, coalesce(l.action, CASE WHEN bound > {url_filter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, 0.0 + round(bound, 6) AS bad_bound
 FROM urls u JOIN bounds ON bounds.host = u.host LEFT JOIN longest l ON l.page_id IS NOT DISTINCT FROM u.page_id AND l.host = u.host AND l.path = u.path
@@ -141,7 +149,7 @@ FROM o GROUP BY conv_id
 
 
 def _license_sql() -> str:
-    """Every place of every phrase, and every line against every template."""
+    """Every place of every phrase, and every run of lines against every template."""
     words = "regexp_extract_all({c}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     places = " UNION ALL ".join(f"SELECT doc_id, pos, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"coalesce(w[i + {k}] = '{x}', false)" for k, x in enumerate(license_scan.words_of(phrase))) + ")) - 1 AS start FROM d" for phrase, label in license_scan.PHRASES.items())
     templates = ", ".join(f"('{label}', {sorted(set(license_scan.words_of(text)))})" for label, texts in license_scan.TEMPLATES.items() for text in texts)
@@ -149,7 +157,8 @@ def _license_sql() -> str:
 WITH d AS (SELECT doc_id, row_number() OVER () AS pos, translate(coalesce(text, ''), {UPPER_LOWER}) AS t, {words.format(c=f"translate(coalesce(text, ''), {UPPER_LOWER})")} AS w FROM documents),
 places AS ({places}),
 base AS (SELECT doc_id, pos, count(*) AS n, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY 1, 2),
-lines AS (SELECT doc_id, pos, list_distinct({words.format(c="line")}) AS w FROM (SELECT doc_id, pos, unnest(string_split(t, chr(10))) AS line FROM d)),
+split AS (SELECT doc_id, pos, list_transform(string_split(t, chr(10)), lambda line: {words.format(c="line")}) AS ls FROM d),
+lines AS (SELECT doc_id, pos, list_distinct(flatten(list_slice(ls, i, i + {license_scan.SPAN} - 1))) AS w FROM (SELECT *, unnest(range(1, greatest(1, len(ls) - {license_scan.SPAN} + 1) + 1)) AS i FROM split)),
 templates AS (SELECT * FROM (VALUES {templates}) v(label, words)),
 found AS (SELECT doc_id, pos, label, len(list_intersect(lines.w, words)) / CAST(len(words) AS DOUBLE) AS share FROM lines, templates WHERE len(list_intersect(lines.w, words)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9)),
 more AS (SELECT doc_id, pos, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY 1, 2)
