@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_queries import plain_scores
-from tidewell.llm import bpe_codec, lm_score, multiset_fp, packing
+from tidewell.llm import bpe_codec, lm_score, multiset_fp, packing, simhash
 from tidewell.llm.bpe import Encoder, read_spec
 from tidewell.llm.common import table
 
@@ -38,6 +38,28 @@ def test_encoder_equals_the_library(tok):
         assert np.frombuffer(enc.encode(t or ""), np.uint32).tolist() == tok.encode(t or "", add_special_tokens=False).ids
 
 
+def test_other_tokenizers_are_encoded_whole_or_refused(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, enc = Tokenizer.from_file(path), Encoder(read_spec(path))
+    for t in odd_texts():
+        assert np.frombuffer(enc.encode(t or ""), np.uint32).tolist() == other.encode(t or "", add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, "some words  here\n")], "doc_id long, text string")
+    assert packing.pack(df, tokenizer=path).first().doc_tokens == len(other.encode("some words  here\n").ids) + 1
+    with pytest.raises(ValueError):
+        bpe_codec.encode(df, tokenizer=path)
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, None)], "n_tokens long, text string")
+    assert bpe_codec.encode(df, "n_tokens").columns[0] == "n_tokens_id"
+    assert lm_score.score(df, spark.createDataFrame([], "n_tokens long, good boolean"), "n_tokens").columns[:2] == ["n_tokens_id", "n_tokens"]
+    df = df.toDF("fingerprint", "text")
+    assert multiset_fp.compare(df, "fingerprint").columns[0] == simhash.near_duplicates(df, "fingerprint").columns[0] == "fingerprint_id"
+
+
 def test_codec_equals_the_library(spark, tok):
     texts = odd_texts()
     df = spark.createDataFrame([(i, t, "e") for i, t in enumerate(texts)] + [(None, "a b", "e"), (3, texts[3], "e")], "doc_id long, text string, key string").repartition(5)
@@ -63,7 +85,7 @@ def test_cuts_follow_content():
     assert bpe_codec.cuts(b"") == []
 
 
-def test_packing_covers_each_document_once(spark, tok):
+def test_packing_covers_each_document_once(spark, tok, tmp_path):
     texts = odd_texts()
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, None, 1)], "doc_id long, text string, length int").repartition(3)
     got = packing.pack(df).collect()
@@ -82,6 +104,19 @@ def test_packing_covers_each_document_once(spark, tok):
             at += r.length
         assert at == len(ids)
     assert packing.pack(df.limit(0)).count() == 0
+    # Batches hold sequences of one length, as many as fit; in a task only the last of a length may be short.
+    small = packing.pack(df, batch_tokens=4096).collect()
+    batches = {}
+    for x in small:
+        batches.setdefault(x.batch, []).append(x)
+    assert all(len({x.length for x in b}) == 1 and sorted(x.batch_row for x in b) == list(range(len(b))) for b in batches.values())
+    assert all(len(b) * b[0].length <= 4096 for b in batches.values()) and len(batches) < len(small)
+    short = [(k >> 32, b[0].length) for k, b in batches.items() if (len(b) + 1) * b[0].length <= 4096]
+    assert len(short) == len(set(short))
+    packing.write_buckets(packing.pack(df), str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert back.count() == len(got) and sorted({x.length for x in got}) == sorted(int(p.name.removeprefix("length=")) for p in (tmp_path / "b").glob("length=*"))
+    assert packing.pack(df.select(F.col("doc_id").alias("start"), "text"), id_col="start").columns[:2] == ["start_id", "start"]
     assert packing.cuts(4096 * 2 + 5, 4096) == [4096, 4096, 4, 1] and packing.cuts(0, 8) == []
 
 

@@ -3,10 +3,12 @@
 The vocabulary's pre-tokenizer drops white space and cuts texts into pieces (letters, single digits, runs of other
 signs) that are merged each on its own. So a text's ids are those of its pieces, in order, and a piece that comes
 again need not be merged again. Texts of ASCII and Latin-1 letters are cut here and their pieces merged by the
-library's own BPE model; every word with any other character goes through the library's full encode()."""
+library's own BPE model; every word with any other character goes through the library's full encode(). Vocabulary files
+of any other form are known by their rules (`separable`) and go through the library's full encode() text by text."""
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -19,6 +21,23 @@ PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s{LETTER}0-9]
 CACHED = 150_000
 
 
+# The rules of the vocabulary files that are cut here; others go through the library whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def separable(spec: str) -> bool:
+    """Whether a vocabulary file has the rules that this module knows: white space is dropped and parts tokens."""
+    read = json.loads(spec)
+    return read.get("normalizer") == NORMALIZER and read.get("pre_tokenizer") == PRE_TOKENIZER and not read.get("post_processor") and not read.get("decoder")
+
+
 def byte_signs() -> list[str]:
     """The printable sign that byte-level vocabularies write for each byte."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -50,11 +69,14 @@ class Encoder:
         self.full = Tokenizer.from_str(spec)
         self.full.no_truncation()
         self.full.no_padding()
+        self.separable = separable(spec)
         self.ids = _Ids(self.full.model)
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
         """The ids of encode(text, add_special_tokens=False), four bytes each."""
+        if not self.separable:
+            return array("I", self.full.encode(text, add_special_tokens=False).ids).tobytes()
         if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
             return b"".join(map(self.ids.__getitem__, PIECE.findall(text.lower())))
         # White space never joins what stands beside it, so words can be encoded one by one.

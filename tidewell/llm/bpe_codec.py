@@ -11,7 +11,7 @@ the fragments between, grown over as many chunks as it takes to reach white spac
 is put together. Decoding prints the vocabulary's tokens, as this tokenizer file has no decoder, with spaces between.
 
 Cases: null counts as empty: no tokens. Repeated rows and null ids each get an answer. A long text without white space
-is one fragment. An empty table gives an empty result; extra columns are dropped. Only chunk digests are grouped by
+is one fragment. A tokenizer that doesn't part texts in this way is refused (`bpe.separable`). An empty table gives an empty result; extra columns are dropped; an id column named like a result is called so with "_id" behind. Only chunk digests are grouped by
 chunk, partial counts first; a chunk in a third of all documents is one row for each that lacks it, spread by the
 run-time split of skewed joins."""
 
@@ -28,8 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, encoder, read_spec
-from .common import partitions, written
+from .bpe import Encoder, encoder, read_spec, separable
+from .common import col, id_name, partitions, written
 
 #: A cut stands after one byte in 2^CUT_BITS.
 CUT_BITS = 10
@@ -90,8 +90,11 @@ def decode(names: list[str], ids: bytes) -> str:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """Every document: id, n_tokens, ids_sha256, decoded_sha256; with_ids: and ids (little-endian unsigned 32-bit)."""
     spark = docs.sparkSession
-    spec = spark.sparkContext.broadcast(read_spec(tokenizer))
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    read = read_spec(tokenizer)
+    if not separable(read):
+        raise ValueError("white space does not part this tokenizer's tokens, so that chunks can't be joined there")
+    spec = spark.sparkContext.broadcast(read)
+    narrow = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,5 +199,5 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     repaired = waiting.select("key", "made").join(fetched, "key").mapInArrow(put_together, f"key binary, {result_schema}")
     results = done.unionByName(repaired)
-    columns = [F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    columns = [F.col("id").alias(id_name(id_col, list(result))), "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     return marked.select("id", "key").join(results, "key").select(*columns)

@@ -39,6 +39,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def id_name(id_col: str, results: list[str]) -> str:
+    """What a result calls the id: its own name, with "_id" behind where a result has that name."""
+    return f"{id_col}_id" if id_col.lower() in results else id_col
+
+
 def numbered(docs: DataFrame, first: str, names: list[str]) -> DataFrame:
     """The text column `first` (as a string) and the named columns, called c0, c1, ...: Arrow functions take them by place, so that
     no name of the input can clash with another."""

@@ -21,7 +21,8 @@ one by one. Labels meet documents by id in narrow rows; texts are not shuffled.
 Cases: null and empty texts, and those without words, have no tokens, null losses and score 0. Without labelled
 documents the target model is uniform. Labels of one id are merged (good if any says so); null ids are not labelled.
 Repeated rows each count and each get an answer, which leaves out only the row itself. One very long text is a batch of
-its own. An empty table gives an empty result; extra columns are dropped."""
+its own. An empty table gives an empty result; extra columns are dropped; an id column named like a result
+is called so with "_id" behind."""
 
 from __future__ import annotations
 
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, partitions, written
+from .common import col, id_name, partitions, written
 
 MU, BATCH_CHARS, BUCKETS = 1000.0, 8 << 20, 4
 START = 0
@@ -205,6 +206,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sent = both.mapInArrow(send, "bucket long, batch long, keys binary, n binary, t binary")
     sums = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "bucket long, batch long, n binary, t binary")
     answers = sums.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "t"))).alias("answers"))  # one from each bucket
-    names = [id_col, "n_tokens", "target_loss", "background_loss", "score"]
+    names = ["n_tokens", "target_loss", "background_loss", "score"]
+    names = [id_name(id_col, names), *names]
     kind = made.schema["ids"].dataType.elementType.simpleString()
-    return both.join(answers, "batch").mapInArrow(judge, f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    return both.join(answers, "batch").mapInArrow(judge, f"`{names[0]}` {kind}, n_tokens long, target_loss double, background_loss double, score double")

@@ -14,7 +14,8 @@ next one's start. Rows are cut into ranges of ids, sorted, and streamed holding
 is sent to the range before as well (that of the first range to the last).
 
 Cases: null counts as empty, which is one empty paragraph. Null ids come first. Rows with equal ids follow in the order
-of their texts; one row alone is its own next. An empty table gives an empty result; extra columns are dropped."""
+of their texts; one row alone is its own next. An empty table gives an empty result; extra columns are dropped; an id
+column named like a result is called so with "_id" behind."""
 
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, partitions
+from .common import col, id_name, partitions
 
 DENSE, PROFILE = 64, 64
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -144,5 +145,6 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(c) for c in zip(*out, strict=True))], names)
 
-    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return ranges.mapInArrow(stream, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = [id_name(id_col, names), *names]
+    return ranges.mapInArrow(stream, f"`{names[0]}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

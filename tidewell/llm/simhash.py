@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import OWN, written
+from .common import OWN, col, id_name, written
 from .components import components
 
 FP = OWN + "fp"
@@ -123,9 +123,10 @@ def link_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row a document: id, fingerprint (16 hex digits), component_id (smallest id in its component)."""
-    prints = written(fingerprints(docs.select(id_col, text_col), text_col, shingle).select(id_col, FP), "fingerprints")
-    named = _components_of(prints, id_col, radius)
-    return prints.join(named, FP).select(id_col, F.lpad(F.lower(F.hex(FP)), 16, "0").alias("fingerprint"), "component_id")
+    narrow = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    prints = written(fingerprints(narrow, "text", shingle).select("id", FP), "fingerprints")
+    named = _components_of(prints, "id", radius)
+    return prints.join(named, FP).select(F.col("id").alias(id_name(id_col, ["fingerprint", "component_id"])), F.lpad(F.lower(F.hex(FP)), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _roots(prints: DataFrame, id_col: str, radius: int) -> DataFrame:
