@@ -91,7 +91,7 @@ def listing_dates(spark, d):
 
 
 def _holiday_sql() -> str:
-    fixed = ", ".join(f"('{c}', '{md}')" for c, days in H.FIXED_HOLIDAYS.items() for md in days.split())
+    fixed = ", ".join(f"('{c}', '{md}')" for c, days in H.FIXED_HOLIDAYS.items() for md in days)
     moving = ", ".join(f"('{c}', {n})" for c, days in H.EASTER_HOLIDAYS.items() for n in days)
     floating = ", ".join(f"('{c}', '{m:02d}-{dd:02d}', {w})" for c, days in H.FLOATING_HOLIDAYS.items() for m, dd, w in days)
     easter = SQL["easter"].replace("\n", " ").strip()
