@@ -559,11 +559,13 @@ def change_journal(spark, d):
 
 @query("""
 SELECT event_id, CAST(date_part('isodow', ts) - 1 AS INTEGER) AS weekday, CAST(date_part('hour', l) * 60 + date_part('minute', l) AS INTEGER) AS minutes, CAST(l AS DATE) AS date
-FROM (SELECT event_id, ts, ts + INTERVAL 2 HOUR AS l FROM events)
+FROM (SELECT event_id, ts, ts + CASE WHEN ts >= TIMESTAMP '2024-03-31 01:00:00' AND ts < TIMESTAMP '2024-10-27 01:00:00' THEN INTERVAL 3 HOUR ELSE INTERVAL 2 HOUR END AS l
+  FROM (SELECT event_id, ts + CAST(event_id % 12 AS INTEGER) * INTERVAL 30 DAY AS ts FROM events))
 """)
 def local_clock(spark, d):
-    ts = F.col("ts").cast("timestamp")
-    return t(spark, d, "events").select("event_id", F.weekday("ts").alias("weekday"), when.local_minutes(ts).alias("minutes"), when.local_date(ts).alias("date"))
+    """Every twelfth event a month further, so that both switches of the clock lie within."""
+    ts = F.expr("ts + make_dt_interval(30 * int(event_id % 12))").cast("timestamp")
+    return t(spark, d, "events").select("event_id", ts.alias("ts")).select("event_id", F.weekday("ts").alias("weekday"), when.local_minutes(F.col("ts")).alias("minutes"), when.local_date(F.col("ts")).alias("date"))
 
 
 @query("""
@@ -581,7 +583,17 @@ def holidays(spark, d):
     return H.holidays(spark, 2024, 2030)
 
 
-@query()
+@query("""
+WITH filed(k, day, a, b) AS (SELECT 0, d, 720, 1140 FROM range(1, 6) r(d) UNION ALL VALUES (1, 4, 1200, 1680) UNION ALL SELECT 2, d, 0, 1440 FROM range(7) r(d) UNION ALL VALUES (4, 0, 540, 1020), (4, 2, 540, 1020), (4, 4, 540, 1020)),
+v AS (SELECT s_suppkey, s_suppkey % 6 AS k, s_suppkey % 7 AS day, s_suppkey * 37 % 1440 AS m FROM supplier),
+s AS (SELECT *, k IN (0, 1, 2, 4) AS known, (SELECT max(b) - 1440 FROM filed f WHERE f.k = v.k AND f.day = (v.day + 6) % 7 AND b > 1440 AND v.m < b - 1440) AS over,
+  (SELECT max(b) FROM filed f WHERE f.k = v.k AND f.day = v.day AND v.m >= a AND v.m < b) AS now, (SELECT min(a) FROM filed f WHERE f.k = v.k AND f.day = v.day AND a > v.m) AS later FROM v),
+c AS (SELECT *, over IS NOT NULL OR now IS NOT NULL AS open, k = 2 AS all_day, coalesce(over, now % 1440) AS closes FROM s)
+SELECT s_suppkey, CASE WHEN NOT known THEN '' WHEN NOT open THEN 'SHUT' WHEN all_day THEN '24H' ELSE printf('→%02d', closes // 60) END AS rail,
+  CASE WHEN NOT known THEN 'Hours not filed' WHEN open AND all_day THEN 'Open 24 hours' WHEN open THEN printf('Open now · closes %02d:%02d', closes // 60, closes % 60)
+    WHEN later IS NOT NULL THEN printf('Opens %02d:%02d', later // 60, later % 60) ELSE 'Closed for the day' END AS label
+FROM c
+""")
 def hours_state(spark, d):
     filed = F.element_at(F.array(*(F.lit(x) for x in ("Tu-Sa 12:00-19:00; Su,Mo off", "Fr 20:00-04:00", "24/7", "PH off", "Mo,We,Fr 09:00-17:00", "Su-PH 10:00-12:00"))), (F.col("s_suppkey") % 6 + 1).cast("int"))
     rows = t(spark, d, "supplier").select("s_suppkey", H.parse_hours(filed).alias("h")).withColumn("s", H.state(F.col("h"), (F.col("s_suppkey") % 7).cast("int"), (F.col("s_suppkey") * 37 % 1440).cast("int")))
