@@ -2,6 +2,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidewell.llm import simhash
 
@@ -45,3 +47,21 @@ def test_stages_take_empty_tables(spark, sf):
         assert out.count() == 0
         if name != "packing":
             assert out.columns == docs.columns
+
+
+def test_stages_take_odd_rows_and_names(spark, tmp_path):
+    """Long texts, repeated and null ids, nulls, ties and columns named like the operators' own."""
+    long_ = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, long_), (2, long_ + " end"), (3, "zz" * 200_000), (4, "some plain words here"), (4, "some plain words here"), (4, "other words of one id"), (None, "an id is missing"), (None, None), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("score", "lang_pred", "key", "node", "c0", "c1", "ids", "bucket", "__tw_fp", "__tw_key", "a.b"):
+        docs = docs.withColumn(name, F.lit(name))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    kept = sorted((str(r.doc_id), (r.text or "")[:5]) for r in docs.collect())
+    assert kept == [("1", "word0"), ("3", "zzzzz"), ("4", "other"), ("4", "some "), ("None", "an id")]
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {r.doc_id for r in got} == {1, 3, 4, None}
