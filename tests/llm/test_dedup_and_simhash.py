@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewell.llm import exact_dedup, simhash
-from tidewell.llm.components import components
+from tidewell.llm.components import components, lookup
 
 SCHEMA = "doc_id long, text string, lang string, key string, kept string, __tw_x string"
 
@@ -189,3 +189,11 @@ def test_components_of_paths_and_loops(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (102, 102), (60, 59), (60, 61)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, 101: 100, 59: 59, 60: 59, 61: 59}
+
+
+def test_lookup_with_hot_keys(spark):
+    """A key with most of the rows, common ones, one that the table lacks."""
+    rows = spark.range(6000).selectExpr("CASE WHEN id < 4000 THEN 7 ELSE id % 100 + 10 END AS k", "id")
+    table = rows.where("k <> 11").groupBy("k").count().selectExpr("k", "count AS weight", "k * 2 AS top")
+    got = {(r.k, r.id): r.top for r in lookup(rows, table, "k", 6000).collect()}
+    assert got == {(r.k, r.id): None if r.k == 11 else r.k * 2 for r in rows.collect()}

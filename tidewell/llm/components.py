@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
 Every step is a min per node and a join back, so no neighbour list is ever gathered, and each round's edges are written
-to the shared folder. Rounds grow with the logarithm of the longest path."""
+to the shared folder. Rounds grow with the logarithm of the longest path. Nodes with very many edges don't gather them in
+one task: see `lookup`."""
 
 from __future__ import annotations
 
@@ -18,15 +19,28 @@ def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return out, (seen.get["n"], seen.get["h"])
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, n: int) -> DataFrame:
+    """rows with what table (one row a key, `weight` its number of rows) has for their key, else nulls; n: about how many
+    rows there are. Keys with over a thousandth of n rows are so few that they are broadcast, and their rows stay where they
+    are or are dealt by other columns; the rest is an ordinary join."""
+    values, rest = [c for c in table.columns if c not in (key, "weight")], [c for c in rows.columns if c != key]
+    is_hot = F.col("weight") > max(1000, n // 1000)
+    hot = table.where(is_hot).select(key, F.lit(True).alias("hot"), *(F.col(c).alias(f"hot_{c}") for c in values))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*rest), F.lit(4096)) + 1).otherwise(0)
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("salt", salt)
+    found = marked.join(table.where(~is_hot).select(key, F.lit(0).cast("long").alias("salt"), *values), [key, "salt"], "left")
+    return found.select(*rows.columns, *(F.when(F.col("hot"), F.col(f"hot_{c}")).otherwise(F.col(c)).alias(c) for c in values))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b longs) -> (node, root): root is the smallest node that can be reached; every node of an edge once."""
     e, state = _round(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while state[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("weight"))
+        large = lookup(both, low, "a", state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("weight"))
+        small = lookup(large, low, "a", state[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         before = state
         e, state = _round(small)
         if before == state:

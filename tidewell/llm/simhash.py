@@ -10,6 +10,8 @@ from the number of fingerprints (few long segments for many fingerprints): it ch
 
 Groups of copies: equal fingerprints are one row from the start. Before the search, neighbours in each table's sorted
 order are linked in chains and their components found; the search then keeps links between different components only.
+Chains are read off ranges of the sorted tables, so a common value of a segment is no task of its own; where a range
+ends a chain ends, and the search finds that link.
 So a large group of near copies does not put out its pairs, and no link that matters is lost. However many near copies a
 text has, under 700,000 fingerprints lie within 4 bits of its own, so they don't fill a table's key beyond that.
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import OWN, col, id_name, written
-from .components import components
+from .components import components, lookup
 
 FP = OWN + "fp"
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -103,50 +105,63 @@ def _keys(segs: list[tuple[int, int, int]], balls: bool) -> Column:
     return F.explode(F.concat(*(keys(i, *s) for i, s in enumerate(segs))))
 
 
+def _chains(keyed: DataFrame, radius: int) -> DataFrame:
+    """(a, b): each fingerprint of a table with the first one of its chain, over (key, FP) in sorted ranges."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp, start = None, np.int64(0), np.int64(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            new = np.ones(len(fps), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (np.bitwise_count((fps[1:] ^ fps[:-1]).view(np.uint64)) > radius)
+            new[0] = key is None or keys[0] != key or np.bitwise_count((fps[:1] ^ fp).view(np.uint64))[0] > radius
+            at = np.maximum.accumulate(np.where(new, np.arange(len(fps)), -1))
+            starts = np.where(at < 0, start, fps[np.maximum(at, 0)])
+            key, fp, start = keys[-1], fps[-1], starts[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(starts)], ["a", "b"])
+
+    return keyed.repartitionByRange("key", FP).sortWithinPartitions("key", FP).select("key", FP).mapInArrow(read, "a long, b long")
+
+
 def link_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fps: distinct FP, written. -> (FP, root): the smallest fingerprint reachable, for fingerprints with any link."""
-    segs = segments(fps.count(), radius)
+    """fps: distinct FP, written. -> (FP, root): the smallest fingerprint reachable, for every fingerprint."""
+    n = fps.count()
+    segs = segments(n, radius)
     apart = lambda a, b: F.bit_count(a.bitwiseXOR(b))
-    w = Window.partitionBy("key").orderBy(FP)
-    before = F.lag(FP).over(w)
-    starts = F.when(before.isNull() | (apart(F.col(FP), before) > radius), F.col(FP))
-    chains = fps.select(FP, _keys(segs, balls=False).alias("key")).withColumn("s", starts)
-    chains = chains.select(F.col(FP).alias("a"), F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("b"))
-    first = components(chains)
+    first = components(_chains(fps.select(_keys(segs, balls=False).alias("key"), FP), radius))
     named = written(fps.join(first.withColumnRenamed("node", FP), FP, "left").select(FP, F.coalesce("root", FP).alias("c")), "chained")
     table = named.select(F.col(FP).alias("t_fp"), F.col("c").alias("t_c"), _keys(segs, balls=False).alias("key"))
     probes = named.select(FP, "c", _keys(segs, balls=True).alias("key"))
     links = probes.join(table, (probes["key"] == table["key"]) & (F.col("c") < F.col("t_c")) & (apart(F.col(FP), F.col("t_fp")) <= radius))
     merged = components(links.select(F.col("c").alias("a"), F.col("t_c").alias("b")))
-    return named.join(merged.withColumnRenamed("node", "c"), "c", "left").select(FP, F.coalesce("root", "c").alias("root"))
+    sizes = named.groupBy("c").agg(F.count("*").alias("weight")).join(merged.withColumnRenamed("node", "c"), "c")
+    return lookup(named, sizes, "c", n).select(FP, F.coalesce("root", "c").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row a document: id, fingerprint (16 hex digits), component_id (smallest id in its component)."""
     narrow = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     prints = written(fingerprints(narrow, "text", shingle).select("id", FP), "fingerprints")
-    named = _components_of(prints, "id", radius)
-    return prints.join(named, FP).select(F.col("id").alias(id_name(id_col, ["fingerprint", "component_id"])), F.lpad(F.lower(F.hex(FP)), 16, "0").alias("fingerprint"), "component_id")
-
-
-def _roots(prints: DataFrame, id_col: str, radius: int) -> DataFrame:
-    """(FP, id, root) for every fingerprint of prints; id is the smallest that has it."""
-    fps = written(prints.groupBy(FP).agg(F.min(id_col).alias("id")), "distinct")
-    return fps.join(link_components(fps.select(FP), radius), FP)
+    roots, n = _roots(prints, "id", radius)
+    least = roots.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("weight"))
+    named = written(lookup(roots.select(FP, "rows", "root"), least, "root", n).select(FP, "component_id", F.col("rows").alias("weight")), "components")
+    out = lookup(prints, named, FP, n)
+    return out.select(F.col("id").alias(id_name(id_col, ["fingerprint", "component_id"])), F.lpad(F.lower(F.hex(FP)), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _components_of(prints: DataFrame, id_col: str, radius: int) -> DataFrame:
-    """(FP, component_id) for every fingerprint of prints."""
-    roots = _roots(prints, id_col, radius)
-    least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
-    return written(roots.join(least, "root").select(FP, "component_id"), "components")
+def _roots(prints: DataFrame, id_col: str, radius: int) -> tuple[DataFrame, int]:
+    """((FP, id, rows, root) for every fingerprint of prints, where id is the smallest that has it; how many rows prints has)."""
+    fps = written(prints.groupBy(FP).agg(F.min(id_col).alias("id"), F.count("*").alias("rows")), "distinct")
+    roots = written(link_components(fps.select(FP), radius), "roots")
+    return fps.join(roots, FP), fps.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs without near copies: of each component the document with the smallest id stays (rows without one come last;
     among rows with that id, the smallest fingerprint and then the smallest text)."""
     prints = written(fingerprints(docs.select(id_col, text_col), text_col, shingle).select(id_col, FP), "fingerprints")
-    first = _roots(prints, id_col, radius).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", FP)).alias("s"))
+    first = _roots(prints, id_col, radius)[0].groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", FP)).alias("s"))
     stay = written(first.select(F.col(f"s.{FP}").alias(FP), F.coalesce(F.col("s.id").cast("string"), F.lit("")).alias(OWN + "k")), "representatives")
     full = fingerprints(docs, text_col, shingle).withColumn(OWN + "k", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     kept = full.join(stay, [FP, OWN + "k"], "left_semi")
