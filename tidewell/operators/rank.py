@@ -18,10 +18,16 @@ def keep_best(df: DataFrame, by: list[Column | str], order: list[Column]) -> Dat
     return ranked(df, by, order).where(F.col(RANK) == 1).drop(RANK)
 
 
-def mark_duplicates(df: DataFrame, by: list[Column | str], order: list[Column], reason: str = "duplicate", archived: str = "archived", reason_col: str = "archive_reason") -> DataFrame:
-    """All rows; all but the best of each group are archived with a reason."""
-    rest = F.col(RANK) > 1
-    return ranked(df, by, order).withColumns({archived: rest, reason_col: F.when(rest, reason)}).drop(RANK)
+def mark_duplicates(df: DataFrame, by: list[Column | str], order: list[Column], reason: str = "duplicate", archived: str = "archived", reason_col: str = "archive_reason", key: str | None = None) -> DataFrame:
+    """All rows; all but the best of each group are archived with a reason. Where rows have a unique key, groups are cut to
+    their best row in each task and its key is joined back, so that a large group is never gathered; without one, each group
+    is ranked in one task."""
+    if key is None:
+        rest = F.col(RANK) > 1
+        return ranked(df, by, order).withColumns({archived: rest, reason_col: F.when(rest, reason)}).drop(RANK)
+    best = keep_best(df, by, order).select(key, F.lit(True).alias("__best"))
+    rest = F.col("__best").isNull()
+    return df.join(best, key, "left").withColumns({archived: rest, reason_col: F.when(rest, reason)}).drop("__best")
 
 
 def first_n(df: DataFrame, by: list[Column | str], order: list[Column], n: int, name: str | None = None) -> DataFrame:

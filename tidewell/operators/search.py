@@ -22,12 +22,11 @@ def tokens(c: Column) -> Column:
 
 def text_rank(df: DataFrame, key: str, fields: list[tuple[Column, float]], query: str, k: int) -> DataFrame:
     """(key, score, rank) of the k best rows that hold every query word: the sum over words of idf times weighted tf,
-    tf / (tf + 1). Only the query's words are counted, so documents are never exploded."""
+    tf / (tf + 1). Only the query's words are counted, so documents are neither split nor exploded."""
     words = sorted(set("".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()))
-    count = lambda c, w: F.size(F.filter(c, lambda t: t == w))
-    toks = {i: (tokens(c), weight) for i, (c, weight) in enumerate(fields)}
-    rows = df.select(key, *(t.alias(f"t{i}") for i, (t, _) in toks.items()))
-    rows = rows.select(key, *(sum((count(F.col(f"t{i}"), w) * F.lit(weight) for i, (_, weight) in toks.items()), F.lit(0.0)).alias(f"tf{j}") for j, w in enumerate(words)))
+    count = lambda i, w: F.regexp_count(F.col(f"t{i}"), F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])"))
+    rows = df.select(key, *(F.lower(F.coalesce(c.cast("string"), F.lit(""))).alias(f"t{i}") for i, (c, _) in enumerate(fields)))
+    rows = rows.select(key, *(sum((count(i, w) * F.lit(weight) for i, (_, weight) in enumerate(fields)), F.lit(0.0)).alias(f"tf{j}") for j, w in enumerate(words)))
     stats = rows.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"tf{j}") > 0).alias(f"df{j}") for j in range(len(words))))
     idf = lambda j: F.log(1 + (F.col("n") - F.col(f"df{j}") + 0.5) / (F.col(f"df{j}") + 0.5))
     every = F.lit(bool(words))

@@ -62,7 +62,7 @@ def dedup_keep_best(spark, d):
     docs = match.flagged(t(spark, d, "documents"), t(spark, d, "labels"), "doc_id", "labelled")
     # Groups are told apart by a 256-bit digest, so texts need not be sorted or shuffled.
     keyed = docs.select("doc_id", "labelled", "n_chars", F.sha2(F.lower(F.trim("text")), 256).alias("k"))
-    return rank.mark_duplicates(keyed, ["k"], [F.desc("labelled"), F.desc_nulls_last("n_chars"), F.desc("doc_id")]).drop("k")
+    return rank.mark_duplicates(keyed, ["k"], [F.desc("labelled"), F.desc_nulls_last("n_chars"), F.desc("doc_id")], key="doc_id").drop("k")
 
 
 @query("SELECT md5(lower(trim(text))) AS key, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) > 1")

@@ -67,9 +67,9 @@ def dedup_active(picks: DataFrame, bookmarks: DataFrame, now: Column) -> DataFra
     by = [F.lower("city"), F.lower(F.coalesce("venue", F.lit(""))), F.lower("title"), F.coalesce("day", F.lit("")), F.coalesce("time", F.lit(""))]
     context = F.col("context_md").isNotNull() if "context_md" in picks.columns else F.lit(False)
     order = [F.desc("saved"), F.desc(F.col("image_url").isNotNull()), F.desc(context), F.desc_nulls_first("created_at"), F.desc("id")]
-    worse = rank.ranked(live, by, order).where(F.col(rank.RANK) > 1).select("id", F.lit(True).alias("__dup"))
-    marked = picks.join(worse, "id", "left")
-    return upsert.soft_archive(marked, F.col("__dup"), now, "duplicate").drop("__dup")
+    best = rank.keep_best(live, by, order).select("id", F.lit(True).alias("__best"))
+    marked = picks.join(best, "id", "left")
+    return upsert.soft_archive(marked, F.col("archived_at").isNull() & F.col("__best").isNull(), now, "duplicate").drop("__best")
 
 
 def reconcile(picks: DataFrame, staging: DataFrame, sources: DataFrame, now: Column, grace_days: int = 3, enforce: bool = False) -> tuple[DataFrame, DataFrame]:
