@@ -225,3 +225,68 @@ def dedup_listing(spark, d):
     picks = o.select(F.col("o_orderkey").alias("id"), F.lit("c").alias("city"), F.col("o_custkey").cast("string").alias("venue"), F.col("o_orderpriority").alias("title"), F.lit("").alias("day"), F.lit("").alias("time"), F.when(F.col("o_orderstatus") == "F", "x").alias("image_url"), F.col("o_orderdate").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("archived_at"), F.lit(None).cast("string").alias("archive_reason"))
     out = catalogue.dedup_active(picks, o.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("pick_id")), now())
     return out.select("id", F.col("archived_at").isNotNull().alias("archived"))
+
+
+# --- composites ------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN 'Road ' || s_nationkey || CASE WHEN s_suppkey % 2 = 0 THEN ' ' || s_suppkey ELSE '' END || ', 10111 Town' ELSE 'A, B, C' END AS address FROM supplier
+""")
+def addresses_made(spark, d):
+    k = F.col("s_suppkey")
+    parts = F.struct(F.when(k % 3 > 0, _s("Road ", F.col("s_nationkey"))).alias("road"), F.when(k % 2 == 0, k.cast("string")).alias("number"), F.lit("10111").alias("postcode"), F.lit("Town").alias("city"))
+    return t(spark, d, "supplier").select("s_suppkey", text.address(parts, F.lit("A, B,C, D")).alias("address"))
+
+
+@query("SELECT l_orderkey, bool_or(l_discount = 0) AS free, first(l_partkey ORDER BY l_linenumber, l_discount = 0, l_partkey) FILTER (WHERE l_returnflag = 'R') AS part FROM lineitem GROUP BY 1")
+def nested_offers(spark, d):
+    """An order's lines as nested offers: is any free, and the first returned one's part."""
+    line = F.struct("l_linenumber", (F.col("l_discount") == 0).alias("is_free"), F.col("l_returnflag").alias("type"), "l_partkey")
+    made = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("offers"))
+    return made.select("l_orderkey", feeds.any_free(F.col("offers")).alias("free"), feeds.nested_of_type(F.col("offers"), "R", "l_partkey").alias("part"))
+
+
+@query("""
+WITH g AS (SELECT split_part(p_type, ' ', 1) AS city, p_brand AS venue, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS ids FROM part WHERE p_size > 10 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY venue) AS turn FROM g)
+SELECT city, venue, ids FROM r ORDER BY turn, city LIMIT 12
+""")
+def geocode_turns(spark, d):
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("city"), F.col("p_brand").alias("venue"), F.lit("x").alias("neighborhood"), F.when(F.col("p_size") <= 10, 1.0).alias("lat"), F.lit(None).cast("timestamp").alias("archived_at"))
+    return catalogue.geocode_queue(p, now(), 12).select("city", "venue", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'tags: disused:shop' ELSE 'name: ' || upper(c_name) END AS why, CASE WHEN c_custkey % 4 = 0 THEN 'id' ELSE 'name' END AS reason FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 6 = 3
+""")
+def closures_found(spark, d):
+    """Every fourth customer is closed by id, some others by a name written otherwise."""
+    k = F.col("c_custkey")
+    c = t(spark, d, "customer")
+    venues = c.select("c_custkey", k.alias("osm_id"), F.col("c_name").alias("name"))
+    by_id = c.where(k % 4 == 0).select(k.alias("id"), F.lit(None).cast("string").alias("name"), F.lit("disused:shop").alias("reason"))
+    by_name = c.where(k % 6 == 3).select((-k).alias("id"), F.upper("c_name").alias("name"), F.lit("x").alias("reason"))
+    return catalogue.closures(venues, by_id.unionByName(by_name)).select("c_custkey", "why", "reason")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS m, o_orderdate FROM orders)
+SELECT k AS pick_id, CASE m WHEN 3 THEN 'past' ELSE 'pick' END AS title, CASE WHEN m = 3 OR m = 1 THEN 'gone' WHEN m = 2 THEN 'anytime' WHEN CAST(o_orderdate AS DATE) >= DATE '1997-01-01' THEN 'dated' ELSE 'gone' END AS bucket FROM o
+""")
+def saved_read(spark, d):
+    """Orders as saved ids: dated ones, archived ones, ones without a day, and ones only the past list knows."""
+    o, m = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("at")), F.col("id") % 4
+    picks = o.where(m < 3).select("id", F.lit("pick").alias("title"), F.when(m == 1, F.col("at")).alias("archived_at"), F.when(m != 2, F.timestamp_add("HOUR", F.lit(12), "at")).alias("starts_at"), F.lit(None).cast("string").alias("day"))
+    venues = o.where("false").select("id", F.lit("v").alias("name"))
+    past = o.where(m == 3).select("id", F.lit("past").alias("title"))
+    return catalogue.saved_buckets(o.select(F.col("id").alias("pick_id")), picks, venues, past, F.lit("1997-01-01").cast("date")).select("pick_id", "title", "bucket")
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderpriority <> '1-URGENT' UNION ALL SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'possibly_closed' ELSE o_orderstatus END FROM orders WHERE o_orderpriority = '1-URGENT'")
+def venues_aged(spark, d):
+    """Urgent open orders as venues not seen for a quarter."""
+    seen = F.when(F.col("o_orderpriority") == "1-URGENT", F.timestamp_add("DAY", F.lit(-91), now())).otherwise(F.timestamp_add("DAY", F.lit(-89), now()))
+    made = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "active").otherwise(F.col("o_orderstatus")).alias("status"), seen.alias("last_seen_at"))
+    out = lifecycle.close_absent_venues(made, now())
+    return out.select("id", F.when(F.col("status") == "active", "O").otherwise(F.col("status")).alias("status"))
