@@ -21,8 +21,8 @@ def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, n: int) -> DataFrame:
     """rows with what table (one row a key, `weight` its number of rows) has for their key, else nulls; n: about how many
-    rows there are. Keys with over a thousandth of n rows are so few that they are broadcast, and their rows stay where they
-    are dealt by their other columns (rows equal in all of them stay together); the rest is an ordinary join."""
+    rows there are. Keys with over a thousandth of n rows are so few that they are broadcast, and their rows are dealt by
+    their other columns (rows equal in all of them stay together); the rest is an ordinary join."""
     values, rest = [c for c in table.columns if c not in (key, "weight")], [c for c in rows.columns if c != key]
     is_hot = F.col("weight") > max(1000, n // 1000)
     hot = table.where(is_hot).select(key, F.lit(True).alias("hot"), *(F.col(c).alias(f"hot_{c}") for c in values))
