@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, exact_dedup, lang_id, license_scan, lm_score, multiset_fp, packing, simhash, url_filter
+from . import bpe_codec, chat_format, exact_dedup, lang_id, license_scan, lm_score, multiset_fp, packing, prefix_trie, simhash, spelling, url_filter
 from .common import table
 
 
@@ -66,6 +66,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_simhash, op5_lm_score, op6_multiset_fingerprint, op7_license_scan, op8_bpe_codec, op9_language_id, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_simhash, op5_lm_score, op6_multiset_fingerprint, op7_license_scan, op8_bpe_codec, op9_language_id, op10_packing, op11_spelling, op13_prefix_trie, pipeline)}
 
 
 OP1_SQL = """
@@ -168,5 +176,50 @@ FROM d LEFT JOIN base ON base.pos = d.pos LEFT JOIN more ON more.pos = d.pos
 """
 
 
+def _crc32_sql(text: str) -> str:
+    """Half a byte at a time, by a table of sixteen remainders."""
+    table = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    nibbles = f"flatten(list_transform(range(0, octet_length(encode({text})) * 2, 2), lambda i: [CAST('0x' || substr(hex(encode({text})), CAST(i + 2 AS BIGINT), 1) AS BIGINT), CAST('0x' || substr(hex(encode({text})), CAST(i + 1 AS BIGINT), 1) AS BIGINT)]))"
+    return f"xor(list_reduce(list_concat([CAST({2**32 - 1} AS BIGINT)], {nibbles}), lambda c, b: xor(c >> 4, ({table})[(xor(c, b) & 15) + 1])), CAST({2**32 - 1} AS BIGINT))"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, {UPPER_LOWER}), '{spelling.LETTERS}')) AS w FROM documents),
+each AS (SELECT id, w, count(*) AS k FROM runs WHERE length(w) >= {spelling.LEAST_CHARS} GROUP BY 1, 2),
+marked AS (SELECT w, k, {_crc32_sql("id || ':' || w")} AS h FROM each),
+slipped AS (SELECT k, CASE WHEN h % {spelling.SLIPS} = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) + 2 AS BIGINT)) ELSE w END AS word FROM marked),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM slipped WHERE length(word) >= {spelling.LEAST_CHARS} GROUP BY 1 HAVING sum(k) >= {spelling.LEAST_COUNT}),
+rests AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+indels AS (SELECT DISTINCT word, rest FROM rests WHERE rest IN (SELECT word FROM v)),
+pairs AS (SELECT x.word, y.word AS other FROM rests x JOIN rests y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION ALL SELECT word, rest FROM indels UNION ALL SELECT rest, word FROM indels),
+best AS (SELECT pairs.word, count(*) AS n_near, arg_min(struct_pack(o := other, m := v.n), struct_pack(m := -v.n, o := encode(other))) AS b FROM pairs JOIN v ON v.word = other GROUP BY 1),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.m >= {spelling.RATIO} * v.n THEN b.o END AS form, CASE WHEN b.m >= {spelling.RATIO} * v.n THEN b.m END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+follow AS (SELECT word, word AS at FROM forms UNION ALL SELECT follow.word, forms.form FROM follow JOIN forms ON forms.word = follow.at WHERE forms.form IS NOT NULL),
+last AS (SELECT follow.word, follow.at AS root FROM follow JOIN forms ON forms.word = follow.at WHERE forms.form IS NULL)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN last ON last.word = forms.word
+"""
+
+_CONV = prefix_trie.EVERY
+OP13_SQL = f"""
+WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c FROM own),
+convs AS (SELECT c, c - c % {_CONV} AS base, {_crc32_sql("CAST(c AS VARCHAR)")} % {prefix_trie.TURNS} AS h FROM ids),
+turns AS (SELECT convs.c, i, r, t FROM own JOIN convs ON convs.base = own.c WHERE i <= h UNION ALL SELECT own.c, i, r, t FROM own JOIN convs ON convs.c = own.c WHERE i > h),
+seqs AS (SELECT convs.c, coalesce(list(struct_pack(r := r, t := t) ORDER BY i) FILTER (WHERE i IS NOT NULL), []) AS s FROM convs LEFT JOIN turns ON turns.c = convs.c GROUP BY 1),
+paths AS (SELECT c, len(s) = d AS ends, d, s[1:d] AS p, octet_length(encode(coalesce(s[d].t, ''))) AS bytes FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
+nodes AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(CASE WHEN d = 0 THEN 0 ELSE bytes END) AS own, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM paths GROUP BY d, p),
+children AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1, 2),
+above AS (SELECT n.p[1:a] AS p, a AS d, n.own, c.k IS NULL AS leaf FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM nodes) n LEFT JOIN children c ON c.d = n.d AND c.p = n.p),
+sums AS (SELECT d, p, sum(own) AS saved, count(*) FILTER (WHERE leaf) AS leaves FROM above GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.k, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes u ON u.d = n.d - 1 AND u.p = n.p[1:n.d - 1] LEFT JOIN children c ON c.d = n.d AND c.p = n.p JOIN sums s ON s.d = n.d AND s.p = n.p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op7_license_scan": _license_sql()}
+    return {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op7_license_scan": _license_sql(), "op11_spelling": OP11_SQL, "op13_prefix_trie": OP13_SQL}
