@@ -34,6 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed by a key: joins by it don't shuffle this side, however often it is read."""
+    spark, n, name = df.sparkSession, partitions(df.sparkSession), f"tidewell_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def col(name: str) -> Column:
     """A column by its plain name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, exact_dedup, lang_id, license_scan, lm_score, multiset_fp, packing, prefix_trie, simhash, spelling, url_filter
+from . import bpe_codec, chat_format, exact_dedup, lang_id, license_scan, lm_score, multiset_fp, packing, prefix_trie, simhash, spelling, substring_dedup, url_filter
 from .common import table
 
 
@@ -70,6 +70,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_simhash, op5_lm_score, op6_multiset_fingerprint, op7_license_scan, op8_bpe_codec, op9_language_id, op10_packing, op11_spelling, op13_prefix_trie, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_chat_format, op4_simhash, op5_lm_score, op6_multiset_fingerprint, op7_license_scan, op8_bpe_codec, op9_language_id, op10_packing, op11_spelling, op12_substring_dedup, op13_prefix_trie, pipeline)}
 
 
 OP1_SQL = """
@@ -204,6 +208,16 @@ last AS (SELECT follow.word, follow.at AS root FROM follow JOIN forms ON forms.w
 SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN last ON last.word = forms.word
 """
 
+#: Every window of every text, by its words.
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, hash(w[i:i + {substring_dedup.WINDOW - 1}]) AS h, md5(array_to_string(w[i:i + {substring_dedup.WINDOW - 1}], ' ')) AS m FROM (SELECT *, unnest(range(1, len(w) - {substring_dedup.WINDOW - 2})) AS i FROM d)),
+counted AS (SELECT r, i, count(*) OVER (PARTITION BY h, m) AS n FROM windows),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {substring_dedup.WINDOW})) AS i FROM counted WHERE n > 1),
+kept AS (SELECT r, count(*) AS k, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) x ANTI JOIN gone USING (r, i) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(k, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.r = d.r
+"""
+
 _CONV = prefix_trie.EVERY
 OP13_SQL = f"""
 WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
@@ -222,4 +236,4 @@ FROM nodes n LEFT JOIN nodes u ON u.d = n.d - 1 AND u.p = n.p[1:n.d - 1] LEFT JO
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op7_license_scan": _license_sql(), "op11_spelling": OP11_SQL, "op13_prefix_trie": OP13_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op7_license_scan": _license_sql(), "op11_spelling": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_prefix_trie": OP13_SQL}
