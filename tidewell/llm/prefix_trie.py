@@ -47,7 +47,8 @@ def _ordered(turns: DataFrame, id_col: str, turn_col: str, role_col: str, text_c
 
 def rebuilt(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(turns, members): conversation c is the first h turns of conversation c - c % EVERY, if there is one, and then c's own
-    after its first h; h: the CRC-32 of c in decimals, modulo TURNS. Turns as (conv_id, turn, role, text), and all c, also those
+    after its first h; h: the CRC-32 of c in decimals, modulo TURNS (% keeps
+    the sign, as in SQL). Turns as (conv_id, turn, role, text), and all c, also those
     left without a turn, as conv_id."""
     own = _ordered(turns, id_col, turn_col, role_col, text_col)
     taken = F.crc32(F.col("c").cast("string")) % TURNS
