@@ -85,14 +85,17 @@ def brute(text):
     places = [(k, label) for p, label in PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
     labels = {label for _, label in places}
     more, best = set(labels), 0.0
-    lines = (text or "").split("\n")
-    for i in range(max(1, len(lines) - license_scan.SPAN + 1)):
-        block = set(license_scan.words_of(" ".join(lines[i : i + license_scan.SPAN])))
-        for label, texts in license_scan.TEMPLATES.items():
-            for t in texts:
-                ws = set(license_scan.words_of(t))
-                share = len(ws & block) / len(ws)
-                if share >= 0.8:
+    for label, patterns in license_scan.NAMES.items():
+        if re.search(f" (?:{'|'.join(patterns)}) ", f" {' '.join(words)} "):
+            more.add(label)
+            best = 1.0
+    for label, texts in license_scan.TEMPLATES.items():
+        for t, needs in texts:
+            span, ws = license_scan.span_of(t), set(license_scan.words_of(t))
+            for i in range(len(words) if len(ws & set(words)) >= 0.8 * len(ws) else 0):
+                block = words[i : i + span]
+                share = len(ws & set(block)) / len(ws)
+                if share >= 0.8 and all(f" {p} " in f" {' '.join(block)} " for p in needs):
                     more.add(label)
                     best = max(best, share)
     starts = [k for k, _ in places]
@@ -101,8 +104,8 @@ def brute(text):
 
 def test_license_scan_matches_brute_force(spark):
     texts = [None, "", "...", "Released under the MIT License.", "under the\nMIT-license under the mit license", "cc-by-nc cc by nc CC BY NC 4.0", "Licensed under the Apache License, Version 2.0.\nx\nThis work is licensed under the GNU General Public License, version 3.", "under the mit licenses", "thunder the mit license", "ünder the mit license", "under the miT license", "under the mit licenſe \u212a K", "permission granted free of charge to any person obtaining a copy of this software and associated documentation files hereby is", "a " * 5000 + "under the mit license", "0 under_the_mit_license 9", "\x00under\x1fthe\x7fmit license\u3000"]
-    texts += ["\n".join(textwrap.wrap(t, width, initial_indent=sign, subsequent_indent=sign)) for ts in license_scan.TEMPLATES.values() for t in ts for width, sign in ((75, "# "), (50, " * "))]
-    texts += ["some text\n" * 30 + texts[-3] + "\nmore text" * 30, texts[-4].replace("\n", "\n\n\n\n\n\n\n\n\n\n\n")]
+    texts += ["\n".join(textwrap.wrap(t, width, initial_indent=sign, subsequent_indent=sign)) for ts in license_scan.TEMPLATES.values() for t, _ in ts for width, sign in ((75, "# "), (50, " * "))]
+    texts += ["some text\n" * 30 + texts[-3] + "\nmore text" * 30, texts[-4].replace("\n", "\n\n\n\n\n\n\n\n\n\n\n"), texts[-4].replace("\n", " ") * 3]
     df = spark.createDataFrame([(i, t, "q") for i, t in enumerate(texts)] + [(3, texts[3], "q"), (None, "cc by nc", "q")], "doc_id long, text string, w string")
     got = license_scan.scan(df).collect()
     assert len(got) == len(texts) + 2
@@ -111,10 +114,31 @@ def test_license_scan_matches_brute_force(spark):
         assert tuple(r)[1:-1] == want[:-1] and r.score == pytest.approx(want[-1])
     assert license_scan.scan(df.limit(0)).count() == 0
     by = {r.doc_id: r.labels for r in got}
-    for i, t in enumerate(texts[:-2]):  # real headers are wrapped
+    for i, t in enumerate(texts):  # real headers are wrapped
         if t and t.startswith(("# ", " * ")):
             assert by[i]
-    none = {r.doc_id: r for r in license_scan.scan(df, templates={}).collect()}
-    assert none[3].labels == none[3].base_labels == "mit" and none[6].labels == "" and none[12].score == 0
+    none = {r.doc_id: r for r in license_scan.scan(df, templates={}, names={}).collect()}
+    assert none[3].labels == none[3].base_labels == "mit" and none[6].labels == none[6].base_labels == "apache-2" and none[12].score == 0
     with pytest.raises(ValueError):
         license_scan.scan(df, phrases={"a b a": "x"})
+
+
+LINES = {
+    "released under the BSD license": "bsd", "Licensed under CC BY 4.0": "cc-by", "Creative Commons Attribution 4.0 International License": "cc-by", "Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+    "Licensed under the Mozilla License, Version 2.0": "mpl-2", "Licensed under the GNU Affero General Public License, version 2.0": "", "Licensed under the GNU Affero General Public License, version 3": "agpl-3", "This work is licensed under the GNU General Public License, version 2": "gpl-2",
+    "This work is licensed under the GNU General Public License, version 3": "gpl-3", "licensed under the GNU Lesser General Public License, version 2.1": "lgpl-2.1", "They released\nthe prisoners\nunder a truce;\nthe\nlicense of poets": "", "Licensed under CC BY-NC-SA 4.0": "cc-by-nc,cc-by-nc-sa", "cc by sa 3.0": "cc-by-sa", "Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+    "SPDX-License-Identifier: Apache-2.0": "apache-2", "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3", "the three-clause BSD license": "bsd-3", "under the revised BSD licence": "bsd-3", "GPLv3 code": "gpl-3", "LGPL 2.1": "lgpl-2.1", "Released under the Expat License": "mit", "the apache tribe": "", "a licence to kill": "",
+    "Licensed under the Apache License, Version 1.1": "", "Eclipse Public License, version 2.0": "", "Mozilla Public License, version 1.1": "", "under the MIT-like license": "",
+}
+
+
+def test_names_tell_licenses_apart(spark):
+    df = spark.createDataFrame(list(enumerate(LINES)), "doc_id long, text string")
+    assert {texts: r.labels for texts, r in zip(LINES, license_scan.scan(df).orderBy("doc_id").collect(), strict=True)} == LINES
+
+
+def test_paragraphs_tell_versions_apart(spark):
+    texts = {label: t for label, ts in license_scan.TEMPLATES.items() for t, _ in ts[:1]}
+    three, two = texts["gpl-3-or-later"], texts["lgpl-2.1-or-later"]
+    df = spark.createDataFrame([(0, three.replace("version 3", "version 4")), (1, two.replace("Lesser ", "Library ")), (2, three), (3, "\n * ".join(textwrap.wrap(two, 30))), (4, three.replace("Foundation", "word " * 200))], "doc_id long, text string")
+    assert [r.labels for r in license_scan.scan(df).orderBy("doc_id").collect()] == ["", "", "gpl-3-or-later", "lgpl-2.1-or-later", ""]

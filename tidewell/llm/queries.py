@@ -161,19 +161,22 @@ FROM o GROUP BY conv_id
 
 
 def _license_sql() -> str:
-    """Every place of every phrase, and every run of lines against every template."""
-    words = "regexp_extract_all({c}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    """Every place of every phrase, every name, and every block of every template."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     places = " UNION ALL ".join(f"SELECT doc_id, pos, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"coalesce(w[i + {k}] = '{x}', false)" for k, x in enumerate(license_scan.words_of(phrase))) + ")) - 1 AS start FROM d" for phrase, label in license_scan.PHRASES.items())
-    templates = ", ".join(f"('{label}', {sorted(set(license_scan.words_of(text)))})" for label, texts in license_scan.TEMPLATES.items() for text in texts)
+    names = " UNION ALL ".join(f"SELECT pos, '{label}' AS label, 1.0 AS share FROM d WHERE regexp_matches(t, ' (?:{'|'.join(patterns)}) ')" for label, patterns in license_scan.NAMES.items())
+    flat = [(label, sorted(set(license_scan.words_of(text))), license_scan.span_of(text), [f" {p} " for p in needs]) for label, texts in license_scan.TEMPLATES.items() for text, needs in texts]
+    templates = ", ".join(f"('{label}', {ws}, {span}, CAST({needs} AS VARCHAR[]))" for label, ws, span, needs in flat)
     return f"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS pos, translate(coalesce(text, ''), {UPPER_LOWER}) AS t, {words.format(c=f"translate(coalesce(text, ''), {UPPER_LOWER})")} AS w FROM documents),
+WITH d AS (SELECT doc_id, row_number() OVER () AS pos, {words} AS w, ' ' || array_to_string({words}, ' ') || ' ' AS t FROM documents),
 places AS ({places}),
 base AS (SELECT doc_id, pos, count(*) AS n, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY 1, 2),
-split AS (SELECT doc_id, pos, list_transform(string_split(t, chr(10)), lambda line: {words.format(c="line")}) AS ls FROM d),
-lines AS (SELECT doc_id, pos, list_distinct(flatten(list_slice(ls, i, i + {license_scan.SPAN} - 1))) AS w FROM (SELECT *, unnest(range(1, greatest(1, len(ls) - {license_scan.SPAN} + 1) + 1)) AS i FROM split)),
-templates AS (SELECT * FROM (VALUES {templates}) v(label, words)),
-found AS (SELECT doc_id, pos, label, len(list_intersect(lines.w, words)) / CAST(len(words) AS DOUBLE) AS share FROM lines, templates WHERE len(list_intersect(lines.w, words)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9)),
-more AS (SELECT doc_id, pos, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY 1, 2)
+templates AS (SELECT * FROM (VALUES {templates}) v(label, words, span, needs)),
+whole AS (SELECT pos, w, label, words, span, needs FROM d, templates WHERE len(list_intersect(w, words)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9)),
+blocks AS (SELECT pos, label, words, needs, list_slice(w, i, i + span - 1) AS b FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM whole)),
+found AS (SELECT pos, label, len(list_intersect(b, words)) / CAST(len(words) AS DOUBLE) AS share, ' ' || array_to_string(b, ' ') || ' ' AS t, needs FROM blocks WHERE len(list_intersect(b, words)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9)),
+every AS (SELECT pos, label, share FROM found WHERE len(list_filter(needs, lambda p: NOT contains(t, p))) = 0 UNION ALL {names}),
+more AS (SELECT pos, list(DISTINCT label) AS labels, max(share) AS share FROM every GROUP BY 1)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(base.n, 0) AS n_base, base.first_word, base.last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels, CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(more.share, 0.0) END AS score
 FROM d LEFT JOIN base ON base.pos = d.pos LEFT JOIN more ON more.pos = d.pos
