@@ -269,3 +269,47 @@ def fnv53(c: pd.Series) -> pd.Series:
 def like_literal(term: str) -> str:
     """A term with LIKE's wildcards escaped."""
     return re.sub(r"([%_\\])", r"\\\1", term)
+
+
+def _signed(code: Column) -> Column:
+    """The sign of a code as a UTF-16 unit: larger numbers wrap around."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long").bitwiseAND(F.lit(0xFFFF))), 4, "0")), "UTF-16BE")
+
+
+def numeric_entities(c: Column) -> Column:
+    """Entities of numbers, &#233; and &#xE9;, as their signs; the decimal ones first. Each that there is is replaced once,
+    wherever it stands; those of more digits than a number can have stay."""
+    for pattern, base in ((r"&#([0-9]{1,9});", 10), (r"(?i)&#x([0-9a-f]{1,8});", 16)):
+        found = F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
+        digits = lambda m, p=pattern: F.regexp_extract(m, p, 1)
+        c = F.aggregate(found, c, lambda s, m: F.replace(s, m, _signed(F.conv(digits(m), base, 10))))  # noqa: B023
+    return c
+
+
+# Each listing's way with tags: what a tag becomes, entities in their order, numbers too, white space to
+# single spaces, the most characters.
+STRIPPERS = {
+    "cinema": (" ", ("&amp;", "&lt;", "&gt;", "&quot;", "&nbsp;"), True, True, None),
+    "channel": ("", ("&nbsp;", "&amp;", "&lt;", "&gt;", "&quot;", "&#39;"), False, False, None),
+    "tickets": (" ", ("&nbsp;", "&amp;", "&lt;", "&gt;", "&quot;", "&#39;"), False, True, 600),
+    "feed": (" ", ("&nbsp;", "&amp;", "&lt;", "&gt;", "&quot;", "&#39;"), False, True, None),
+    "facts": (" ", ("&nbsp;",), False, True, 4000),
+}
+_ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " ", "&#39;": "'"}
+
+
+def stripped(c: Column, way: str) -> Column:
+    """Tags and entities as one of STRIPPERS takes them; entities are replaced one after the other, so that what one makes
+    the next may take. A channel's line breaks stay lines. Facts are null if nothing is left."""
+    tag, entities, numbers, collapse, most = STRIPPERS[way]
+    s = _or_empty(c)
+    if way == "channel":
+        s = F.regexp_replace(s, r"(?i)<br\s*/?>", "\n")
+    s = F.regexp_replace(s, "<[^>]*>" if way == "facts" else "<[^>]+>", tag)
+    for e in entities:
+        s = F.replace(s, F.lit(e), F.lit(_ENTITIES[e]))
+    s = numeric_entities(s) if numbers else s
+    s = F.regexp_replace(s, r"^\s+|\s+$", "")
+    s = F.regexp_replace(s, r"\s+", " ") if collapse else s
+    s = F.substring(s, 1, most) if most else s
+    return F.nullif(s, F.lit("")) if way == "facts" else s

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TZ = "Europe/Tallinn"
@@ -44,17 +46,27 @@ def resolve_date(starts_at: Column, day: Column, today: Column, tz: str = TZ) ->
     return F.coalesce(local_date(starts_at, tz), F.when(F.lower(F.trim(day)).startswith("ton"), today), F.date_add(today, ahead))
 
 
-def is_tonight(date: Column, today: Column) -> Column:
-    return F.coalesce(date == today, F.lit(False))
+def is_tonight(date: Column, today: Column, flag: Column | None = None, day: Column | None = None) -> Column:
+    """Today's, or flagged so, or with a day that reads Tonight: dates only widen what is stated."""
+    stated = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
+    named = F.lit(False) if day is None else F.coalesce(F.lower(F.trim(day)).startswith("ton"), F.lit(False))
+    return stated | named | F.coalesce(date == today, F.lit(False))
 
 
 def is_tomorrow(date: Column, today: Column) -> Column:
     return F.coalesce(date == F.date_add(today, 1), F.lit(False))
 
 
-def is_this_week(date: Column, today: Column) -> Column:
-    """Today and the six days after."""
-    return F.coalesce(date.between(today, F.date_add(today, 6)), F.lit(False))
+def is_this_week(date: Column, today: Column, flag: Column | None = None, tonight: Column | None = None) -> Column:
+    """Today and the six days after, or flagged so, or tonight."""
+    stated = [F.coalesce(c, F.lit(False)) for c in (flag, tonight) if c is not None]
+    return functools.reduce(Column.__or__, stated, F.coalesce(date.between(today, F.date_add(today, 6)), F.lit(False)))
+
+
+def stamped(df: DataFrame, date: Column, today: Column) -> DataFrame:
+    """df (tonight, this_week, day) with both flags widened by the date; stated ones stay."""
+    tonight = is_tonight(date, today, F.col("tonight"), F.col("day"))
+    return df.withColumns({"tonight": tonight, "this_week": is_this_week(date, today, F.col("this_week"), tonight)})
 
 
 def weekend(today: Column) -> Column:
@@ -65,14 +77,18 @@ def weekend(today: Column) -> Column:
     return F.coalesce(one, F.sequence(friday, F.date_add(friday, 2)))
 
 
-def matches_window(window: str, date: Column, today: Column) -> Column:
-    """Does a listing fall in a named window: date:YYYY-MM-DD, tonight, tomorrow, weekend, thisweek; others hold all."""
+def matches_window(window: str, date: Column, today: Column, tonight: Column | None = None, this_week: Column | None = None) -> Column:
+    """Does a listing fall in a named window: date:YYYY-MM-DD, tonight, tomorrow, weekend, thisweek; others hold all.
+    tonight, this_week: stamped flags, where there are any."""
+    if window == "tonight":
+        return is_tonight(date, today, tonight)
+    if window == "thisweek":
+        return is_this_week(date, today, this_week, tonight)
     if window.startswith("date:"):
         return F.coalesce(date == F.to_date(F.lit(window[5:])), F.lit(False))
-    tests = {"tonight": is_tonight, "tomorrow": is_tomorrow, "thisweek": is_this_week}
     if window == "weekend":
         return F.coalesce(F.array_contains(weekend(today), date), F.lit(False))
-    return tests[window](date, today) if window in tests else F.lit(True)
+    return is_tomorrow(date, today) if window == "tomorrow" else F.lit(True)
 
 
 def clock_minutes(text: Column) -> Column:

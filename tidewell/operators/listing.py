@@ -83,9 +83,9 @@ def prose(parts: list[tuple[str, Column]], blurb: Column | None = None, most: in
     return F.concat_ws("\n", *lines)
 
 
-def listing_rows(pages: DataFrame, page: str, body: str, row: str, size: int = 50, most: int = 4) -> DataFrame:
-    """The rows of a nested listing, data.listing.rows beside data.listing.total, page after page: up to `most` pages, none
-    that starts beyond the total. row: the rows' type."""
+def listing_rows(pages: DataFrame, page: str, body: str, row: str, size: int = 50, most: int | None = 4) -> DataFrame:
+    """The rows of a nested listing, data.listing.rows beside data.listing.total, page after page: up to `most` pages (None:
+    all), none that starts beyond the total. row: the rows' type."""
     read = pages.select(page, F.from_json(body, f"data struct<listing struct<total long, rows array<{row}>>>").alias("b")).select(page, "b.data.listing.*")
-    kept = read.where((F.col(page) < most) & (F.col(page) * size < F.col("total")))
+    kept = read.where((F.lit(True) if most is None else F.col(page) < most) & (F.col(page) * size < F.col("total")))
     return kept.select(page, F.explode("rows").alias("row")).select(page, "row.*")

@@ -63,3 +63,8 @@ def by_fixed_order(c: Column, values: list[str]) -> Column:
 
 def page(df: DataFrame, order: list[Column], number: int, size: int = 20) -> DataFrame:
     return df.orderBy(*order).offset(number * size).limit(size)
+
+
+def page_with_total(df: DataFrame, order: list[Column], number: int, size: int = 20) -> DataFrame:
+    """A page, each row with how many rows there are on all pages together."""
+    return page(df, order, number, size).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))

@@ -22,7 +22,7 @@ def public(picks: DataFrame) -> DataFrame:
 
 def assembled(picks: DataFrame, venues: DataFrame, city: str, now: Column) -> tuple[DataFrame, DataFrame]:
     """(picks, venues) of a city as the catalogue shows them: positions filled in from venues of the same name, closed
-    venues flagged, dates resolved."""
+    venues flagged, dates resolved, tonight and this week stamped."""
     today = when.local_date(now)
     shown = public(picks.where(F.col("city") == city)).withColumn("key", match.name_key(F.col("venue")))
     local = venues.where(F.col("city") == city).withColumn("key", match.name_key(F.col("name")))
@@ -30,13 +30,16 @@ def assembled(picks: DataFrame, venues: DataFrame, city: str, now: Column) -> tu
     closed = local.where(F.col("status") == "closed").select("key")
     flagged = match.flagged(placed, closed, "key", "is_closed").drop("key")
     dated = flagged.withColumn("date", when.resolve_date(F.col("starts_at"), F.col("day"), today)).withColumn("minutes", when.stated_minutes(F.col("starts_at"), F.col("time")))
+    for flag in ("tonight", "this_week"):
+        dated = dated if flag in dated.columns else dated.withColumn(flag, F.lit(False))
+    dated = when.stamped(dated, F.col("date"), today)
     initials = F.coalesce(X.or_null(F.col("thumb_initials")), X.initials(F.col("venue")))
     return dated.withColumn("thumb_initials", initials), local.where(F.col("kind").isin(X.VENUE_KINDS)).drop("key")
 
 
 def filters(window: str, today: Column, now_minutes: Column, kinds: list[str] | None = None, free: bool = False, doors: str = "any", within_m: int | None = None, box: tuple | None = None, term: str = "") -> dict[str, Column]:
     """The named predicates of the main list, over assembled picks with `metres`."""
-    out = {"when": when.matches_window(window, F.col("date"), today), "doors": when.doors_ok(F.col("minutes"), now_minutes, doors)}
+    out = {"when": when.matches_window(window, F.col("date"), today, F.col("tonight"), F.col("this_week")), "doors": when.doors_ok(F.col("minutes"), now_minutes, doors)}
     out["kind"] = F.col("kind").isin(kinds) if kinds else F.lit(True)
     out["free"] = web.free_ish(F.col("is_free"), F.col("price_min")) if free else F.lit(True)
     out["within"] = within(F.col("metres"), F.lit(within_m)) if within_m else F.lit(True)

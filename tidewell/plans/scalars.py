@@ -39,14 +39,16 @@ _INDEX = "list_position(['mon', 'tue', 'wed', 'thu', 'fri', 'sat', 'sun'], lower
 
 @query(f"""
 WITH e AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN ts END AS ts, {one_of_sql('event_id', NAMED)} AS day FROM events),
-d AS (SELECT event_id, coalesce(CAST(ts + INTERVAL 2 HOUR AS DATE), CASE WHEN starts_with(lower(trim(day)), 'ton') THEN DATE '{TODAY}' END, CASE WHEN {_INDEX} >= 0 THEN CAST(DATE '{TODAY}' + CAST(({_INDEX} - 5 + 7) % 7 AS INTEGER) AS DATE) END) AS date FROM e)
-SELECT event_id, date, coalesce(date = DATE '{TODAY}', false) AS tonight, coalesce(date BETWEEN DATE '{TODAY}' AND DATE '2024-01-26', false) AS thisweek, coalesce(date IN (DATE '{TODAY}', DATE '2024-01-21'), false) AS weekend FROM d
+d AS (SELECT event_id, coalesce(CAST(ts + INTERVAL 2 HOUR AS DATE), CASE WHEN starts_with(lower(trim(day)), 'ton') THEN DATE '{TODAY}' END, CASE WHEN {_INDEX} >= 0 THEN CAST(DATE '{TODAY}' + CAST(({_INDEX} - 5 + 7) % 7 AS INTEGER) AS DATE) END) AS date FROM e),
+f AS (SELECT d.event_id, date, coalesce(date = DATE '{TODAY}', false) OR d.event_id % 7 = 0 OR coalesce(starts_with(lower(trim(day)), 'ton'), false) AS tonight FROM d JOIN e ON e.event_id = d.event_id)
+SELECT event_id, date, tonight, tonight OR event_id % 5 = 1 OR coalesce(date BETWEEN DATE '{TODAY}' AND DATE '2024-01-26', false) AS thisweek, coalesce(date IN (DATE '{TODAY}', DATE '2024-01-21'), false) AS weekend FROM f
 """)
 def day_projection(spark, d):
     k = F.col("event_id")
     date = when.resolve_date(F.when(k % 4 == 0, F.col("ts").cast("timestamp")), one_of(k, NAMED), today())
-    rows = t(spark, d, "events").select("event_id", date.alias("date"))
-    return rows.select("event_id", "date", *(when.matches_window(w, F.col("date"), today()).alias(w) for w in ("tonight", "thisweek", "weekend")))
+    stated = [F.when(k % 7 < 2, k % 7 == 0).alias("tonight"), F.when(k % 5 < 3, k % 5 == 1).alias("this_week")]
+    rows = when.stamped(t(spark, d, "events").select("event_id", one_of(k, NAMED).alias("day"), date.alias("date"), *stated), F.col("date"), today())
+    return rows.select("event_id", "date", *(when.matches_window(w, F.col("date"), today(), F.col("tonight"), F.col("this_week")).alias(w) for w in ("tonight", "thisweek", "weekend")))
 
 
 CLOCKS = ["19:30", "9.15 pm", "doors 8", "00:00", None, " 7:05 sharp"]
