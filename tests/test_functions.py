@@ -63,11 +63,16 @@ def test_parsed_weeks():
     assert p("10:00-28:00")["week"][4] == [(600, 1680)]
     assert p("Mo 25:61-26:00") is None and p("Xx 10:00-12:00") is None
     assert p("PH off; Mo 10:00-12:00")["ph"] == [] and p("Mo 10:00-12:00")["ph"] is None
-    g = hours.parse_listed_hours
-    assert g('["Monday: 12:00 – 10:00 PM"]')["week"][0] == [(720, 1320)]
-    assert g('["x", "x", "x", "x", "Friday: 8:00 PM – 2:00 AM"]')["week"][4] == [(1200, 1560)]
-    assert g('["Monday: Open 24 hours"]')["week"][0] == [(0, 1440)]
-    assert g("[") is None and g("[]") is None and g('["Monday: Closed"]') is None
+
+
+def test_listed_weeks(spark):
+    raw = ['["Monday: 12:00 – 10:00 PM"]', '["x", "x", "x", "x", "Friday: 8:00 PM – 2:00 AM"]', '["Monday: Open 24 hours"]', '["a: 10-11-12 PM, 1 PM-2 PM, pm", null, 7, "b: 5 pm—5 pm"]', "[", "[]", '["Monday: Closed"]', '["Monday: Closed 1 PM - 2 PM"]', "{}", None]
+    got = [None if h is None else [[tuple(s) for s in day] for day in h.week] for h in values(spark, hours.listed_hours(F.col("t")), raw, "t string")]
+    none = [[]] * 7
+    assert got[0] == [[(720, 1320)], *none[1:]] and got[1][4] == [(1200, 1560)] and got[2][0] == [(0, 1440)]
+    assert got[3] == [[(780, 840)], [], [], [(1020, 2460)], *none[4:]] and got[4:] == [None] * 6
+    both = [tuple(h) for h in values(spark, hours.parse_hours(F.col("t")), [raw[0], "Mo 10:00-12:00; PH off", " ", None], "t string")]
+    assert both[0][1] is None and both[1][0][0][0].open == 600 and both[1][1] == [] and both[2:] == [(None, None)] * 2
 
 
 def test_holidays(spark):

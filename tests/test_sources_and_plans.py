@@ -112,7 +112,7 @@ def test_catalogue_and_main_list(spark):
     assert [r.id for r in catalogue.tonight(shown, free).collect()] == ["1"]
     e, one = catalogue.source_page(p, venue="HALL")
     assert one.first().n == 2 or one.first().n == 3
-    ics = catalogue.calendar_text(catalogue.calendar(p, TODAY, "https://s/?id="), "c").first().ics
+    ics = "\r\n".join(r.text for r in catalogue.calendar_feed(catalogue.calendar(p, TODAY, "https://s/?id="), "c").collect())
     assert ics.count("BEGIN:VEVENT") == 4 and "DTSTART:20260619T200000\r\nDTEND:20260619T220000" in ics
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -230,40 +231,59 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
-def _utf16(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("utf-16-le", "surrogatepass"), "<u2")
+def _utf16(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Place by place, the texts that have a UTF-16 unit there and those units. Longest texts come first, so that a place is
+    a prefix of them."""
+    units = [np.frombuffer(s.encode("utf-16-le", "surrogatepass"), "<u2") for s in texts]
+    order = sorted(range(len(units)), key=lambda i: -len(units[i]))
+    ends = np.cumsum([len(units[i]) for i in order])
+    flat, sizes = np.concatenate([units[i] for i in order] or [np.zeros(0, "<u2")]).astype(np.uint64), np.array([len(units[i]) for i in order])
+    starts, which = ends - sizes, np.array(order)
+    for k in range(sizes[0] if len(sizes) else 0):
+        n = np.searchsorted(-sizes, -k, "left")
+        yield which[:n], flat[starts[:n] + k]
+
+
+def _each(c: pd.Series, one: Callable[[list[str]], np.ndarray]) -> pd.Series:
+    out, there = pd.Series([None] * len(c), index=c.index, dtype="Int64"), c.notna()
+    out[there] = one(c[there].tolist()).astype(np.int64)
+    return out
+
+
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 @F.pandas_udf(T.LongType())
 def cyrb53(c: pd.Series) -> pd.Series:
-    """The 53-bit string hash of that name (seed 0), over UTF-16 units, with 32-bit wrapping products."""
-    full = 0xFFFFFFFF
+    """The 53-bit string hash of that name (seed 0), over UTF-16 units, with 32-bit wrapping products; a batch's texts go
+    forward together, a place at a time."""
 
-    def one(s: str) -> int:
+    def one(texts: list[str]) -> np.ndarray:
         # The hash's seeds and multipliers.
-        h1, h2 = 0xDEADBEEF, 0x41C6CE57
-        for u in _utf16(s).tolist():
-            h1, h2 = (h1 ^ u) * 2654435761 & full, (h2 ^ u) * 1597334677 & full
-        mixed = lambda a, b: (a ^ a >> 16) * 2246822507 & full ^ (b ^ b >> 13) * 3266489909 & full
+        h1, h2 = np.full(len(texts), 0xDEADBEEF, np.uint64), np.full(len(texts), 0x41C6CE57, np.uint64)
+        for at, unit in _utf16(texts):
+            h1[at] = (h1[at] ^ unit) * np.uint64(2654435761) & _LOW
+            h2[at] = (h2[at] ^ unit) * np.uint64(1597334677) & _LOW
+        mixed = lambda a, b: (a ^ a >> np.uint64(16)) * np.uint64(2246822507) & _LOW ^ (b ^ b >> np.uint64(13)) * np.uint64(3266489909) & _LOW
         h1 = mixed(h1, h2)
         h2 = mixed(h2, h1)
-        return (h2 & 0x1FFFFF) << 32 | h1
+        return (h2 & np.uint64(0x1FFFFF)) << np.uint64(32) | h1
 
-    return c.map(one, na_action="ignore").astype("Int64")
+    return _each(c, one)
 
 
 @F.pandas_udf(T.LongType())
 def fnv53(c: pd.Series) -> pd.Series:
-    """FNV-1a with 64 bits over UTF-16 units, its low 53 bits."""
+    """FNV-1a with 64 bits over UTF-16 units, its low 53 bits; a batch's texts together, as above."""
 
-    def one(s: str) -> int:
+    def one(texts: list[str]) -> np.ndarray:
         # FNV's offset basis and prime.
-        h = 0xCBF29CE484222325
-        for u in _utf16(s).tolist():
-            h = (h ^ u) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        return h & 0x1FFFFFFFFFFFFF
+        h = np.full(len(texts), 0xCBF29CE484222325, np.uint64)
+        for at, unit in _utf16(texts):
+            h[at] = (h[at] ^ unit) * np.uint64(0x100000001B3)
+        return h & np.uint64(0x1FFFFFFFFFFFFF)
 
-    return c.map(one, na_action="ignore").astype("Int64")
+    return _each(c, one)
 
 
 def like_literal(term: str) -> str:

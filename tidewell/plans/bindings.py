@@ -98,9 +98,11 @@ def round_robin(spark, d):
     return rank.round_robin(t(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", [F.asc("s_suppkey")], 20)
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY (o_orderstatus <> 'O'), o_orderkey LIMIT 1")
+@query(f"SELECT o_orderkey, 'in_progress' AS status FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '{AS_OF}' - INTERVAL 15 MINUTE) ORDER BY (o_orderstatus <> 'O'), o_orderkey LIMIT 1")
 def queue_claim(spark, d):
-    return rank.top_k(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), [F.asc(F.col("o_orderstatus") != "O"), F.asc("o_orderkey")], 1)
+    status = F.when(F.col("o_orderstatus") == "O", "new").when(F.col("o_orderstatus") == "P", "in_progress").otherwise("done")
+    queue_ = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").alias("claimed_at"))
+    return lifecycle.claim(queue_, now()).select(F.col("id").alias("o_orderkey"), "status")
 
 
 @query("""
@@ -373,12 +375,13 @@ TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(regexp
 
 
 @query(f"""
-WITH g AS (SELECT p_partkey, p_name, p_retailprice, p_brand = 'Brand#1' AS hit, {TRIGRAMS.format(c='p_name')} AS a, {TRIGRAMS.format(c="'part 12'")} AS b FROM part),
-s AS (SELECT *, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) END AS sim FROM g)
-SELECT p_partkey, p_name, round(sim + CASE WHEN hit THEN 0.35 ELSE 0.0 END + 0.1 * (p_retailprice / 10000), 6) AS score FROM s WHERE sim >= 0.3 OR hit ORDER BY round(sim + CASE WHEN hit THEN 0.35 ELSE 0.0 END + 0.1 * (p_retailprice / 10000), 6) DESC, p_retailprice / 10000 DESC NULLS LAST, p_partkey LIMIT 50
+WITH g AS (SELECT p_partkey, p_name, p_retailprice, p_brand = 'Brand#1' AS hit, {TRIGRAMS.format(c='p_name')} AS a, {TRIGRAMS.format(c="'kind ' || p_type || ' 12'")} AS c, {TRIGRAMS.format(c="'part 12'")} AS b FROM part),
+s AS (SELECT *, len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) AS by_name, len(list_intersect(c, b)) / CAST(len(list_distinct(list_concat(c, b))) AS DOUBLE) AS by_kind FROM g),
+r AS (SELECT p_partkey, p_name, p_retailprice, round(greatest(by_name, by_kind) + CASE WHEN hit THEN 0.35 ELSE 0.0 END + 0.1 * (p_retailprice / 10000), 6) AS score FROM s WHERE by_name >= 0.3 OR by_kind >= 0.3 OR hit)
+SELECT p_partkey, p_name, score FROM r ORDER BY score DESC, p_retailprice / 10000 DESC NULLS LAST, p_partkey LIMIT 50
 """)
 def trigram_search(spark, d):
-    p = t(spark, d, "part").withColumns({"confidence": F.col("p_retailprice") / 10000, "category": F.lit("")})
+    p = t(spark, d, "part").withColumns({"confidence": F.col("p_retailprice") / 10000, "category": F.concat(F.lit("kind "), F.col("p_type"), F.lit(" 12"))})
     return search.fuzzy_places(p, "p_partkey", "p_name", "category", "p_brand", "confidence", "part 12", ["Brand#1"], 50).select("p_partkey", "p_name", "score")
 
 
@@ -389,13 +392,13 @@ _WORDS = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({
 
 
 @query(f"""
-WITH p AS (SELECT b.item_id, trim(b.text) AS s, d.text AS title FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
+WITH p AS (SELECT b.item_id, trim(b.text) AS s, d.text AS title FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id)
 SELECT item_id, CASE WHEN length(s) >= 12 AND NOT regexp_matches(s, '(?i)^(tba|tbc|n/a|none|null|-|—)$') AND len(list_filter({_WORDS.format(c='substr(s, 1, 300)')}, lambda w: NOT list_contains({_WORDS.format(c="coalesce(title, '')")}, w))) > 0 THEN md5(s) ELSE '' END AS kept FROM p
 """)
 def paraphrase_guard(spark, d):
     b, docs = t(spark, d, "benchmark"), t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("title"))
     said = text.says_something(F.col("text"), F.col("title"))
-    return b.join(docs, "item_id").select("item_id", F.when(said == "", "").otherwise(F.md5(said)).alias("kept"))
+    return b.join(docs, "item_id", "left").select("item_id", F.when(said == "", "").otherwise(F.md5(said)).alias("kept"))
 
 
 _STRIP = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce({c}, ''), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"
@@ -569,18 +572,22 @@ def local_clock(spark, d):
 
 
 @query("""
-WITH y AS (SELECT CAST(i AS INTEGER) AS y FROM range(1990, 2060) r(i)),
+WITH y AS (SELECT DISTINCT CAST(date_part('year', o_orderdate) + o_custkey % 70 AS INTEGER) AS y FROM orders),
 p AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), q AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM p),
 r AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM q), s AS (SELECT *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS n FROM r)
 SELECT y AS year, make_date(CAST(y AS BIGINT), CAST(n // 31 AS BIGINT), CAST(n % 31 + 1 AS BIGINT)) AS easter FROM s
 """)
 def easter(spark, d):
-    return spark.range(1990, 2060).select(F.col("id").cast("int").alias("year")).withColumn("easter", when.easter(F.col("year")))
+    """Of the orders' years and of up to seventy years later, by the customer."""
+    years = t(spark, d, "orders").select((F.year("o_orderdate") + F.col("o_custkey") % 70).cast("int").alias("year")).distinct()
+    return years.withColumn("easter", when.easter(F.col("year")))
 
 
 @query()
 def holidays(spark, d):
-    return H.holidays(spark, 2024, 2030)
+    """Orders of each country's public holidays."""
+    days = F.broadcast(H.holidays(spark, 1990, 2000))  # some 500 rows
+    return t(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")).join(days, "date").groupBy("country", "date").agg(F.count("*").alias("orders"))
 
 
 @query("""

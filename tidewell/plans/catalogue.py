@@ -165,10 +165,14 @@ def calendar(picks: DataFrame, today: Column, site: str) -> DataFrame:
     return rows.select("id", event.alias("event"))
 
 
-def calendar_text(events: DataFrame, name: str) -> DataFrame:
-    """The feed itself, one row: its head and events in order of id."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "event"))), lambda e: e["event"]), "\r\n")
-    return events.agg(F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.lit("VERSION:2.0"), F.lit("PRODID:-//tidewell//calendar//EN"), F.lit("CALSCALE:GREGORIAN"), F.concat(F.lit("X-WR-CALNAME:"), X.escape_ics(F.lit(name))), F.nullif(body, F.lit("")), F.lit("END:VCALENDAR")).alias("ics"))
+def calendar_feed(events: DataFrame, name: str) -> DataFrame:
+    """The feed itself, (text) in order: its head, a row an event by id, its tail. Spark sorts ranges, so it is written as
+    part files that follow each other; no row holds more than one event."""
+    spark = events.sparkSession
+    head = F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.lit("VERSION:2.0"), F.lit("PRODID:-//tidewell//calendar//EN"), F.lit("CALSCALE:GREGORIAN"), F.concat(F.lit("X-WR-CALNAME:"), X.escape_ics(F.lit(name))))
+    ends = spark.range(2).select(F.col("id").alias("part"), F.lit("").alias("id"), F.when(F.col("id") == 0, head).otherwise(F.lit("END:VCALENDAR")).alias("text"))
+    ends = ends.withColumn("part", F.col("part") * 2)
+    return events.select(F.lit(1).cast("long").alias("part"), F.col("id").cast("string"), F.col("event").alias("text")).unionByName(ends).orderBy("part", "id").select("text")
 
 
 def geocode_queue(picks: DataFrame, now: Column, budget: int) -> DataFrame:

@@ -98,10 +98,10 @@ def _holiday_sql() -> str:
     floating = ", ".join(f"('{c}', '{m:02d}-{dd:02d}', {w})" for c, days in H.FLOATING_HOLIDAYS.items() for m, dd, w in days)
     easter = SQL["easter"].replace("\n", " ").strip()
     return f"""
-WITH e AS (SELECT * FROM ({easter}) WHERE year BETWEEN 2024 AND 2030), f AS (SELECT c, CAST(year || '-' || md AS DATE) AS start, w FROM e, (VALUES {floating}) v(c, md, w))
-SELECT c AS country, CAST(year || '-' || md AS DATE) AS date FROM e, (VALUES {fixed}) v(c, md)
+WITH e AS (SELECT * FROM ({easter}) WHERE year BETWEEN 1990 AND 2000), f AS (SELECT c, CAST(year || '-' || md AS DATE) AS start, w FROM e, (VALUES {floating}) v(c, md, w))
+SELECT country, h.date, count(*) AS orders FROM (SELECT c AS country, CAST(year || '-' || md AS DATE) AS date FROM e, (VALUES {fixed}) v(c, md)
 UNION SELECT c, CAST(easter + CAST(n AS INTEGER) AS DATE) FROM e, (VALUES {moving}) v(c, n)
-UNION SELECT c, CAST(start + CAST((w - (isodow(start) - 1) + 7) % 7 AS INTEGER) AS DATE) FROM f
+UNION SELECT c, CAST(start + CAST((w - (isodow(start) - 1) + 7) % 7 AS INTEGER) AS DATE) FROM f) h JOIN orders ON CAST(o_orderdate AS DATE) = h.date GROUP BY 1, 2
 """
 
 
