@@ -130,3 +130,21 @@ def test_documents_stay_where_no_language_is_labelled(spark):
     docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.keep_known_language(spark, docs, "")
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [0, 1]
+
+
+def test_pieces_equal_a_letterwise_parse(monkeypatch):
+    """Texts parsed in pieces side by side cost what a parse letter by letter says, whatever the pieces; so do automata without tables."""
+    r = random.Random(5)
+    for alphabet in ("a", "ab", "abc ", "abcdefgh ", "日本語 ab"):
+        model = lang_id.fit([("x", "".join(r.choices(alphabet, k=300))), ("y", "".join(r.choices(alphabet, k=2000))), ("z", "a")])
+        texts = [t for t in (lang_id.letters_of("".join(r.choices(alphabet + "zж", k=r.randint(1, 2000)))) for _ in range(100)) if t] + ["a", "z", "a" * 3000]
+        want = [model.costs(t) for t in texts]
+        for segment in (1, 2, 7, 256):
+            monkeypatch.setattr(lang_id, "SEGMENT", segment)
+            assert model.costs_of(texts) == pytest.approx(want)
+        for at_once in (1, 10_000):
+            monkeypatch.setattr(lang_id, "AT_ONCE", at_once)
+            assert model.predict_all([None, *texts, "", "12"])[1:-2] == [model.predict(t) for t in texts]
+        monkeypatch.setattr(lang_id, "LARGEST", 1)
+        assert lang_id.Model(model.langs, model.states, model.bits).costs_of(texts) == pytest.approx(want)
+        monkeypatch.undo()
