@@ -87,3 +87,29 @@ def test_fingerprints_bound_distances():
             a, b = (np.array(sorted(both | {r.getrandbits(63) for _ in range(n - len(both))}), np.uint64) for _ in range(2))
             apart = sum((x ^ y).bit_count() for x, y in zip(*(near_dedup.fingerprint(h).view(np.uint64).tolist() for h in (a, b))))
             assert apart <= near_dedup.farthest(0.8) < near_dedup.WIDE / 3
+
+
+def test_a_large_group_makes_few_pairs(spark, monkeypatch):
+    """3,000 near copies of one text, some of them like none, and a chain of texts whose ends are not alike: some pairs a row
+    are compared, not all."""
+    r = random.Random(8)
+    base = " ".join(r.choices([f"w{i}" for i in range(3000)], k=150))
+    data = [(i, changed(r, base, 1 if i % 4 else 2)) for i in range(3000)] + [(5000 + i, changed(r, base, 9)) for i in range(60)]
+    link = " ".join(r.choices([f"v{i}" for i in range(3000)], k=150))
+    for i in range(40):
+        data.append((10_000 + i, link))
+        link = changed(r, link, 1)
+    counted = []
+    alike = near_dedup._alike
+    monkeypatch.setattr(near_dedup, "_alike", lambda pairs, *a: (counted.append(pairs.count()), alike(pairs, *a))[1])
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    got = sorted(x.doc_id for x in near_dedup.keep_one(df).collect())
+    assert got == brute(data[:3] + data[3000:3060] + data[-40:]) == [0, *range(5000, 5060), 10_000]
+    assert sum(counted) < 20 * len(data), counted
+
+
+def test_recall_on_documents(spark):
+    """All pairs of the test table's texts: none that is alike is kept twice."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    data = [(x.doc_id, x.text) for x in docs.collect()]
+    assert sorted(x.doc_id for x in near_dedup.keep_one(docs).collect()) == brute(data)
