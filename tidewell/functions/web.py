@@ -85,16 +85,22 @@ def price_label(is_free: Column, low: Column, high: Column, currency: Column) ->
 def parse_price(raw: Column) -> Column:
     """struct(is_free, price_min, price_max, currency, price_text) from a price as written; all null from nothing."""
     t = F.nullif(F.trim(raw), F.lit(""))
-    free = t.rlike(FREE_WORDS)
     found = F.transform(F.regexp_extract_all(t, F.lit(PRICE_NUMBER), 1), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
-    numbers = F.when(t.isNotNull() & ~free & (F.size(found) > 0), found)
-    return F.struct(
-        F.when(free, True).when(numbers.isNotNull(), False).alias("is_free"),
-        F.array_min(numbers).alias("price_min"),
-        F.when(F.size(numbers) > 1, F.array_max(numbers)).alias("price_max"),
-        F.when(numbers.isNotNull() & t.rlike("(?i)€|eur"), F.lit("EUR")).alias("currency"),
-        t.alias("price_text"),
-    )
+    read = F.struct(t.alias("t"), t.rlike(FREE_WORDS).alias("free"), found.alias("found"))
+
+    def parsed(r: Column) -> Column:
+        t, free = r["t"], r["free"]
+        numbers = F.when(t.isNotNull() & ~free & (F.size(r["found"]) > 0), r["found"])
+        return F.struct(
+            F.when(free, True).when(numbers.isNotNull(), False).alias("is_free"),
+            F.array_min(numbers).alias("price_min"),
+            F.when(F.size(numbers) > 1, F.array_max(numbers)).alias("price_max"),
+            F.when(numbers.isNotNull() & t.rlike("(?i)€|eur"), F.lit("EUR")).alias("currency"),
+            t.alias("price_text"),
+        )
+
+    # A text is searched once for each pattern, however many fields are read.
+    return F.get(F.transform(F.array(read), parsed), F.lit(0))
 
 
 def free_ish(is_free: Column, price_min: Column) -> Column:
