@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidewell.plans import bindings, composites, depth, lists, parsed, scalars  # noqa: F401
+from tidewell.plans import bindings, composites, depth, desk, lists, parsed, scalars  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

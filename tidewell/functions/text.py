@@ -196,6 +196,32 @@ def ago(then: Column, now: Column) -> Column:
     return F.when(d <= 0, F.lit("today")).when(d == 1, F.lit("yesterday")).otherwise(F.concat(d.cast("string"), F.lit(" days ago")))
 
 
+def ago_spoken(then: Column, now: Column) -> Column:
+    """Of whole periods of 24 hours: today, yesterday, n days, weeks from 14 days on, months from 60; empty for later times
+    and unknown ones."""
+    seconds = F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))
+    d = F.floor(seconds / 86_400_000_000)
+    many = lambda days, word: F.concat(F.floor(d / days + 0.5).cast("string"), F.lit(f" {word} ago"))
+    said = F.when(d < 1, "today").when(d == 1, "yesterday").when(d < 14, F.concat(d.cast("string"), F.lit(" days ago"))).when(d < 60, many(7, "weeks")).otherwise(many(30, "months"))
+    return F.coalesce(F.when(seconds >= 0, said), F.lit(""))
+
+
+def ago_rounded(then: Column, now: Column, short: bool = False) -> Column:
+    """Minutes, hours or days, each rounded from the one before: '1 minute ago', '3 hours ago'; short: '3 hr ago'."""
+    micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))
+    minutes = F.floor(micros / 60_000_000 + 0.5)
+    hours = F.floor(minutes / 60 + 0.5)
+    days = F.floor(hours / 24 + 0.5)
+    word = lambda n, brief, long: F.concat(n.cast("string"), F.lit(f" {brief} ago") if short else F.concat(F.lit(f" {long}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago")))
+    said = F.when(minutes < 60, word(minutes, "min", "minute")).when(hours < 24, word(hours, "hr", "hour")).otherwise(word(days, "d", "day"))
+    return F.coalesce(F.when(micros >= 0, said), F.lit(""))
+
+
+def embedding_text(title: Column, venue: Column, neighborhood: Column, kind: Column, quote: Column, moods: Column) -> Column:
+    """What a pick's vector is made of: its fields and mood tags, missing ones left out."""
+    return join_parts(" · ", title, venue, neighborhood, kind, quote, F.array_join(moods, " "))
+
+
 def tolerant_json(c: Column) -> Column:
     """A VARIANT from text that is JSON, holds a fenced block of it, or holds it between its outermost braces."""
     fenced = F.nullif(F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))

@@ -163,6 +163,17 @@ def is_day(hour: Column, month: Column, city: str = "tallinn") -> Column:
     return (hour >= dawn) & (hour < dusk)
 
 
+def dusk_label(month: Column, city: Column) -> Column:
+    """The clock at which dusk falls, by the city's table (the first one's for other cities)."""
+    tables = {name: F.array(*(F.lit(v) for v in dusk)) for name, (_, dusk) in SUN.items()}
+    chosen = tables["tallinn"]
+    for name, table in tables.items():
+        chosen = F.when(city == name, table).otherwise(chosen)
+    at = F.get(chosen, month.cast("int") - 1)
+    hour = F.floor(at)
+    return F.format_string("%02d:%02d", F.least(hour, F.lit(23)), F.floor((at - hour) * 60 + 0.5) % 60)
+
+
 def easter(year: Column) -> Column:
     """Easter Sunday of the Gregorian calendar, in integer arithmetic (Meeus, Jones and Butcher)."""
     i = lambda c: F.floor(c).cast("int")

@@ -74,6 +74,15 @@ def merge_sides(base: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     return b.join(c, F.col(f"b.{key}") == F.col(f"c.{key}"), "full_outer").select(F.coalesce(F.col(f"c.{key}"), F.col(f"b.{key}")).alias(key), *(pick(x) for x in cols))
 
 
+def merge_lists(local: DataFrame, cloud: DataFrame, key: str, items: str) -> DataFrame:
+    """Lists of two stores: one that either has exists. The cloud's values win where not null; items are those of the local
+    list in their order, then those that only the cloud has, each once."""
+    both = merge_sides(local.drop(items), cloud.drop(items), key)
+    sides = local.select(key, F.col(items).alias("__local")).join(cloud.select(key, F.col(items).alias("__cloud")), key, "full_outer")
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(local.schema[items].dataType))
+    return both.join(sides.select(key, F.array_union(none("__local"), none("__cloud")).alias(items)), key)
+
+
 def ordered_stops(routes: DataFrame, venues: DataFrame, venue_cols: list[str]) -> DataFrame:
     """Routes' stops joined to venues by id, in order; `dropped` counts a route's stops without a venue."""
     stops = routes.select(F.col("id").alias("route"), F.posexplode("stops").alias("pos", "stop")).select("route", "pos", F.col("stop.id").alias("id"), F.col("stop.note").alias("note"))

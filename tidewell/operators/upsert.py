@@ -57,6 +57,39 @@ def exclusive_flag(df: DataFrame, key: str, chosen: Column, flag: str) -> DataFr
     return df.withColumn(flag, F.coalesce(F.col(key) == chosen, F.lit(False)))
 
 
+def hand_over(df: DataFrame, chosen: DataFrame, group: str, key: str, flag: str) -> DataFrame:
+    """chosen (group, key): the rows that take the flag. In their groups nobody else keeps it; other groups stay as they
+    are, and so do groups whose chosen row is not there. Of several chosen of a group the first by key counts."""
+    one = chosen.groupBy(group).agg(F.min(key).alias("__chosen"))
+    there = df.join(one, group).where(F.col(key) == F.col("__chosen")).select(group, "__chosen").distinct()
+    marked = df.join(there, group, "left")
+    held = F.when(F.col("__chosen").isNull(), F.col(flag)).otherwise(F.col(key) == F.col("__chosen"))
+    return marked.select(*(held.alias(c) if c == flag else F.col(c) for c in df.columns))
+
+
+def reset_flag(df: DataFrame, flag: str, unless: str, within: Column | None = None) -> DataFrame:
+    """The flag taken from all rows within a scope, but for those known or thought to hold another: null there is no no."""
+    when = F.col(flag) & ~F.col(unless)
+    return update_where(df, when if within is None else when & within, {flag: F.lit(False)})
+
+
+def merge_filled(base: DataFrame, forms: DataFrame, keys: list[str], always: list[str] | None = None) -> DataFrame:
+    """base with forms merged by key (one form a key): filled fields overwrite, blank texts and nulls leave what is there;
+    those of `always` overwrite whatever they hold. Forms without a row make one."""
+    from ..functions.text import or_null
+
+    kinds = dict(forms.dtypes)
+    clean = forms.select(*(or_null(F.col(c)).alias(c) if kinds[c] == "string" and c not in keys else F.col(c) for c in forms.columns))
+    filled = {c: F.lit(True) if c in (always or []) else F.col(c).isNotNull() for c in forms.columns if c not in keys}
+    return upsert(base, clean, keys, filled)
+
+
+def delete_with_parts(wholes: DataFrame, parts: DataFrame, gone: DataFrame, key: str, ref: str) -> tuple[DataFrame, DataFrame]:
+    """(wholes, parts) without those whose key is in gone (key): what a part points to stays where it is."""
+    keys = gone.select(key).distinct()
+    return wholes.join(keys, key, "left_anti"), parts.join(keys.withColumnRenamed(key, ref), ref, "left_anti").select(*parts.columns)
+
+
 def get_or_create(target: DataFrame, wanted: DataFrame, city: str, name: str) -> DataFrame:
     """target with the wanted (city, name) rows that it lacks; names are equal without regard to case."""
     key = lambda df: df.withColumns({"__city": F.col(city), "__name": F.lower(F.trim(F.col(name)))})

@@ -229,3 +229,57 @@ def source_page(picks: DataFrame, venue: str | None = None, handle: str | None =
     """(a venue's or handle's live picks, newest first; one row: how many, and when one was last seen)."""
     mine = public(picks).where((F.lower("venue") == venue.lower()) if venue else (F.lower("handle") == (handle or "").lower()))
     return mine.orderBy(F.desc_nulls_last("created_at"), "id"), mine.agg(F.count("*").alias("n"), F.max(F.coalesce("last_seen_at", "created_at")).alias("freshest"))
+
+
+def saved_rail(minutes: Column, tonight_: Column, day: Column) -> Column:
+    """The label beside a saved row: a stated clock as it is, even once begun; TON, a weekday, OPEN."""
+    return rail_text(minutes, F.lit(False), tonight_, day, F.lit(None).cast("string"))
+
+
+def place_rail(is_place: Column, hours_rail: Column, tonight_: Column, day: Column) -> Column:
+    """The label beside a row of the map: a place, or whoever files hours, says them or OPEN; a pick its day."""
+    filed = F.coalesce(is_place, F.lit(False)) | hours_rail.isNotNull()
+    none = F.lit(None).cast("int")
+    return F.when(filed, F.coalesce(X.or_null(hours_rail), F.lit("OPEN"))).otherwise(saved_rail(none, tonight_, day))
+
+
+def badge(is_place: Column, open_now: Column, free: Column, minutes: Column, now_minutes: Column, tonight_: Column) -> Column:
+    """struct(text, now), or null where nothing is known: places say Open only; picks Free, Now once begun today, Doors and
+    a clock, Tonight."""
+    from ..functions.hours import clock
+
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    sign = lambda text, now: F.struct(text.alias("text"), F.lit(now).alias("now"))
+    pick = F.when(yes(free), sign(F.lit("Free"), False)).when(yes(tonight_) & (minutes <= now_minutes), sign(F.lit("Now"), True)).when(minutes.isNotNull(), sign(F.concat(F.lit("Doors "), clock(minutes)), False)).when(yes(tonight_), sign(F.lit("Tonight"), False))
+    return F.when(yes(is_place), F.when(yes(open_now), sign(F.lit("Open"), True))).otherwise(pick)
+
+
+def venue_groups(picks: DataFrame) -> DataFrame:
+    """Picks at real venues by venue and neighbourhood, whatever the case: spellings and position (null unless whole) of the
+    first pick by id, and how many. Ids stay in their rows: `ids` is their number, `first_id` the first of them."""
+    trimmed = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    rows = picks.where(~X.is_generic_venue(F.col("venue"))).select("id", trimmed("venue").alias("venue"), trimmed("neighborhood").alias("neighborhood"), F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.struct("lat", "lng")).alias("at"))
+    groups = rows.groupBy(F.lower("venue").alias("v"), F.lower("neighborhood").alias("n")).agg(F.min_by(F.struct("venue", "neighborhood", "at"), "id").alias("first"), F.min("id").alias("first_id"), F.count("*").alias("ids"))
+    return groups.select("first.venue", "first.neighborhood", "first.at.lat", "first.at.lng", "first_id", "ids")
+
+
+def finds_saved(picks: DataFrame, hits: DataFrame, venues: DataFrame, prompt: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(picks with a prompt's finds merged by id, one row of counts: places, inserted, rejected). hits: of the index of places
+    (id, city, name, kind, locality, lat, lng). A name that a venue of the city has is spelled as there. Each find is a pick
+    under review for thirty days, whatever stood under its id; hits without a name are rejected, and of several that make
+    one id the first by place counts."""
+    lower = lambda c: F.lower(F.trim(F.col(c)))
+    spelled = venues.groupBy("city", lower("name").alias("__key")).agg(F.min("name").alias("__known"))
+    named = hits.withColumn("__key", lower("name")).join(spelled, ["city", "__key"], "left").withColumn("name", F.coalesce("__known", X.or_null(F.col("name"))))
+    made = F.when(F.col("name").isNotNull(), F.concat(F.lit("discovery-"), X.slug(F.col("name")), F.lit("-"), F.expr("right(id, 8)")))
+    judged = named.withColumns({"__place": F.col("id"), "id": made})
+    local = X.or_null(F.col("locality"))
+    found = {
+        "city": F.col("city"), "title": F.concat("name", F.lit(" — pending review")), "venue": F.col("name"), "kind": F.col("kind"), "handle": F.lit("@discovery"),
+        "neighborhood": F.when(F.lower(local) != F.lower("city"), local).otherwise("other"), "quote": F.lit(f'Found in the index of places for "{prompt}"; nobody has vouched for it yet.'),
+        "thumb_initials": X.initials(F.col("name")), "tonight": F.lit(False), "this_week": F.lit(False), "pending_review": F.lit(True), "archived_at": F.lit(None).cast("timestamp"),
+        "valid_until": F.timestamp_add("DAY", F.lit(30), now), "lat": F.col("lat"), "lng": F.col("lng"), "coords_source": F.when(F.col("lat").isNotNull(), "venue_join"),
+    }
+    rows = rank.keep_best(judged.where("id is not null"), ["id"], [F.asc("__place")]).select("id", *(c.alias(n) for n, c in found.items() if n in picks.columns))
+    counts = judged.agg(F.count("*").alias("places"), F.count_if(F.col("id").isNotNull()).alias("inserted"), F.count_if(F.col("id").isNull()).alias("rejected"))
+    return upsert.upsert(picks, rows, ["id"]), counts

@@ -131,6 +131,36 @@ def digest_text(picks: DataFrame, site: str, most: int = 5) -> DataFrame:
     return first.groupBy("city").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "body"))), lambda x: x["body"]), "\n\n").alias("text"))
 
 
+def digest_rows_html(picks: DataFrame, site: str) -> DataFrame:
+    """Each pick as a row of a letter's table, all texts escaped: (city, id, tonight, sort_order, created_at, body)."""
+    said = lambda c: X.escape_html(F.coalesce(c, F.lit("")))
+    mark = F.when(F.coalesce(F.col("tonight"), F.lit(False)), F.lit('<b class="tonight">Tonight</b> ')).otherwise("")
+    link = F.concat(F.lit(f'<a href="{site}'), F.url_encode("id"), F.lit('">'), said(F.col("title")), F.lit("</a>"))
+    meta = said(meta_line(F.col("neighborhood"), F.col("kind"), F.col("day"), F.col("time")))
+    lines = [F.concat(F.lit('<p class="title">'), mark, link, F.lit("</p>")), *(F.concat(F.lit(f'<p class="{name}">'), c, F.lit("</p>")) for name, c in (("meta", meta), ("quote", said(F.col("quote"))), ("by", F.concat(F.lit("via "), said(F.col("handle"))))))]
+    return picks.select("city", "id", "tonight", "sort_order", "created_at", F.concat(F.lit("<tr><td>"), *lines, F.lit("</td></tr>")).alias("body"))
+
+
+def digest_html(picks: DataFrame, site: str, intro: Column, most: int = 5) -> DataFrame:
+    """By city the digest as a page: the same picks as `digest_text`, at most `most` a city, behind a heading and an intro."""
+    lines = digest_rows_html(picks.where(F.col("archived_at").isNull()), site)
+    order = [F.desc_nulls_last("tonight"), F.asc_nulls_last("sort_order"), F.asc_nulls_last("created_at"), F.asc("id")]
+    first = rank.first_n(lines, ["city"], order, most, "turn")  # at most `most` rows a city are gathered
+    rows = first.groupBy("city").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "body"))), lambda x: x["body"]), "").alias("rows"))
+    name = X.escape_html(F.concat(F.upper(F.substring("city", 1, 1)), F.expr("substring(city, 2)")))
+    head = F.concat(F.lit('<!doctype html><html lang="en"><head><meta charset="utf-8"><title>'), name, F.lit("</title></head><body><h1>This week in "), name, F.lit("</h1><p>"), X.escape_html(intro), F.lit("</p><table>"))
+    return rows.select("city", F.concat(head, F.col("rows"), F.lit("</table></body></html>")).alias("html"))
+
+
+def pipeline_panel(queue: DataFrame, logs: DataFrame, most: int = 5) -> DataFrame:
+    """What an operator looks at first, as rows (part, name, n, detail): how many messages wait in each status (unknown ones
+    as such), then the last runs by id (a top-k), with the error or what came in and was rejected."""
+    waiting = queue.groupBy(F.coalesce("status", F.lit("unknown")).alias("name")).agg(F.count("*").alias("n")).select(F.lit("queue").alias("part"), "name", "n", F.lit(None).cast("string").alias("detail"))
+    last = rank.top_k(logs, [F.desc("id")], most)
+    told = F.coalesce(X.or_null(F.col("error")), F.format_string("%d in, %d rejected", F.coalesce("inserted", F.lit(0)).cast("long"), F.coalesce("rejected", F.lit(0)).cast("long")))
+    return waiting.unionByName(last.select(F.lit("run").alias("part"), F.concat_ws(" ", "fn", "status").alias("name"), F.col("id").cast("long").alias("n"), told.alias("detail")))
+
+
 def changed_lines(changes: DataFrame) -> DataFrame:
     """Saved picks' latest changes (title, venue, old_day, new_day, old_time, new_time, gone) as lines."""
     said = lambda p: F.trim(F.concat_ws(" ", f"{p}_day", f"{p}_time"))

@@ -113,6 +113,20 @@ def open_graph(c: Column, prop: str) -> Column:
     return or_null(unescape_html(F.regexp_extract(c, rf"""(?is)<meta[^>]+property=["']og:{re.escape(prop)}["'][^>]+content=["']([^"']*)["']""", 1)))
 
 
+# Hosts of two networks, what a handle may hold, and paths there that are no profiles.
+PROFILES = {
+    "facebook": (r"(?:www\.|m\.)?facebook\.com", r"[A-Za-z0-9.\-]{2,}", ["sharer", "plugins", "tr/", r"tr\?", "dialog", "login", "groups/", "events/", "watch/", r"watch\?", r"profile\.php"]),
+    "instagram": (r"(?:www\.)?instagram\.com", r"[A-Za-z0-9._]{2,}", ["p/", "reel/", "reels/", "explore", "accounts", "stories/"]),
+}
+
+
+def profile_link(c: Column, network: str) -> Column:
+    """The first address of a profile on a network in a page; share buttons, posts and log-in pages are passed over. Null for
+    none."""
+    host, handle, others = PROFILES[network]
+    return or_null(F.regexp_extract(c, f"(?i)https?://{host}/(?!{'|'.join(others)}){handle}", 0))
+
+
 def linked_data(df: DataFrame, page: str, keep: list[str]) -> DataFrame:
     """The first node of an Event type in a page's JSON-LD: name, description, starts_at, ends_at, price_min, price_max,
     is_free, currency, ticket_url, performers. Blocks may be a node, a list, or hold a @graph (two levels)."""
