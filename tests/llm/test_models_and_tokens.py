@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.test_queries import plain_scores
 from tidewell.llm import bpe_codec, lm_score, multiset_fp, packing, simhash
-from tidewell.llm.bpe import Encoder, read_spec
+from tidewell.llm.bpe import Encoder, read_spec, splices
 from tidewell.llm.common import table
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -38,18 +38,66 @@ def test_encoder_equals_the_library(tok):
         assert np.frombuffer(enc.encode(t or ""), np.uint32).tolist() == tok.encode(t or "", add_special_tokens=False).ids
 
 
-def test_other_tokenizers_are_encoded_whole_or_refused(spark):
+def test_other_tokenizers(spark, tmp_path):
+    """Files with other rules: spliced where pieces tell, encoded whole where nothing is known of them."""
+    import json
+
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    other, enc = Tokenizer.from_file(path), Encoder(read_spec(path))
-    for t in odd_texts():
-        assert np.frombuffer(enc.encode(t or ""), np.uint32).tolist() == other.encode(t or "", add_special_tokens=False).ids
-    df = spark.createDataFrame([(1, "some words  here\n")], "doc_id long, text string")
-    assert packing.pack(df, tokenizer=path).first().doc_tokens == len(other.encode("some words  here\n").ids) + 1
-    with pytest.raises(ValueError):
-        bpe_codec.encode(df, tokenizer=path)
+    prefixed = json.loads(read_spec(path))
+    prefixed["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "prefixed.json").write_text(json.dumps(prefixed))
+    assert splices(read_spec()) and splices(read_spec(path)) and not splices(json.dumps(prefixed))
+    texts = odd_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for file in (path, str(tmp_path / "prefixed.json")):
+        other, enc = Tokenizer.from_file(file), Encoder(read_spec(file))
+        ids = [other.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(enc.encode(t or ""), np.uint32).tolist() for t in texts] == ids
+        for r in bpe_codec.encode(df, tokenizer=file, with_ids=True).collect():
+            assert np.frombuffer(r.ids, "<u4").tolist() == ids[r.doc_id] and r.decoded_sha256 == sha(other.decode(ids[r.doc_id], skip_special_tokens=False))
+    one = spark.createDataFrame([(1, "some words  here\n")], "doc_id long, text string")
+    assert packing.pack(one, tokenizer=path).first().doc_tokens == len(Tokenizer.from_file(path).encode("some words  here\n").ids) + 1
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_joins_agree_or_are_given_up(file):
+    """Units of texts cut anywhere join to the library's ids; where the sides don't agree, none are given."""
+    import public_tokenizers
+
+    enc, r, given_up = Encoder(read_spec(public_tokenizers.path(file))), random.Random(7), 0
+    words = [[*"aB' s\n\tx\u0301é1٣İ🙂"], ["the ", "quick'", "s brown", "\u0301", "12", "!!", "<|endof", "text|>", "  "]]
+    for k in (3, 40, 700):
+        for signs in words * 60:
+            text = "".join(r.choices(signs, k=k))
+            want = enc.full.encode(text, add_special_tokens=False).ids
+            assert b"".join(t for t, _ in enc.pieces(text)) == text.encode() and np.frombuffer(bpe_codec.ids_of(enc.pieces(text)), "<u4").tolist() == want
+            at = sorted({0, len(text), *(r.randrange(len(text) + 1) for _ in range(4))})
+            units = [bpe_codec.unit(enc, text[a:b].encode()) for a, b in zip(at, at[1:])]
+            got = bpe_codec.joined(enc, units)
+            given_up += got is None
+            assert got is None or np.frombuffer(got, "<u4").tolist() == want
+    assert given_up < 40 and bpe_codec.joined(enc, []) == b""
+    plain = bpe_codec.unit(enc, b"some plain words of which there are many more than enough for a middle part between two edges, and so on")
+    assert not isinstance(plain, bytes) and bpe_codec.unfolded(bpe_codec.folded(enc.pieces("a b  c"))) == enc.pieces("a b  c")
+    wrong = (bpe_codec.folded([(t, b"\1\0\0\0") for t, _ in bpe_codec.unfolded(plain[0])]), *plain[1:])
+    assert bpe_codec.joined(enc, [plain, wrong]) is None  # no piece of the window is the chunk's
+
+
+def test_documents_without_agreement_are_encoded_whole(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc = Encoder(read_spec(path))
+    text = "".join(random.Random(24).choices(["<|end", "oftext|>", "'l"], k=6000))
+    ends = bpe_codec.cuts(text.encode())
+    assert bpe_codec.joined(enc, [bpe_codec.unit(enc, text.encode()[a:b]) for a, b in zip([0, *ends], ends)]) is None
+    texts = [text, text + " z", "z " + text, text]  # all chunks are shared
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = bpe_codec.encode(df, tokenizer=path, with_ids=True).collect()
+    assert len(got) == 4 and all(np.frombuffer(r.ids, "<u4").tolist() == enc.full.encode(texts[r.doc_id], add_special_tokens=False).ids for r in got)
 
 
 def test_names_that_clash(spark):

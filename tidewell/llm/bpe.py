@@ -38,6 +38,19 @@ def separable(spec: str) -> bool:
     return read.get("normalizer") == NORMALIZER and read.get("pre_tokenizer") == PRE_TOKENIZER and not read.get("post_processor") and not read.get("decoder")
 
 
+def splices(spec: str) -> bool:
+    """Whether texts may be encoded in parts that are spliced where pieces agree: what a piece is must hang on the text from
+    its start on alone, so that two scans that once start a piece at one place go on alike."""
+    if separable(spec):
+        return True
+    read = json.loads(spec)
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    rules = {k: v for k, v in (read.get("pre_tokenizer") or {}).items() if k in plain}
+    model = read["model"]
+    bound = any(t.get(k) for t in read.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
+    return rules == plain and not read.get("normalizer") and not read.get("post_processor") and model.get("type") == "BPE" and not model.get("dropout") and not bound
+
+
 def byte_signs() -> list[str]:
     """The printable sign that byte-level vocabularies write for each byte."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -87,6 +100,29 @@ class Encoder:
             return b"".join(map(self.ids.__getitem__, PIECE.findall(word.lower())))
         return array("I", self.full.encode(word, add_special_tokens=False).ids).tobytes()
 
+    def pieces(self, text: str) -> list[tuple[bytes, bytes]]:
+        """(the text's bytes, ids) of each piece. What stands between pieces goes with the one before, what stands ahead of
+        all with the first; a text without any is one piece without ids."""
+        if self.separable and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            found = [(m.start(), self.ids[m.group()]) for m in PIECE.finditer(text.lower())]
+        else:
+            got, found, last = self.full.encode(text, add_special_tokens=False), [], None
+            for word, (start, _), id_ in zip(got.word_ids, got.offsets, got.ids, strict=True):
+                if word != last:
+                    found.append((start, array("I")))
+                found[-1][1].append(id_)
+                last = word
+            found = [(start, ids.tobytes()) for start, ids in found]
+        if not found:
+            return [(text.encode(), b"")] if text else []
+        starts = [0, *(start for start, _ in found[1:]), len(text)]
+        return [(text[a:b].encode(), ids) for a, b, (_, ids) in zip(starts, starts[1:], found, strict=False)]
+
+    def decoded(self, ids: bytes, names: list[str]) -> str:
+        """decode(ids, skip_special_tokens=False); names: those of `names`, which a file without a decoder prints."""
+        found = array("I", ids).tolist()
+        return " ".join([names[i] for i in found]) if self.separable else self.full.decode(found, skip_special_tokens=False)
+
     def names(self) -> list[str]:
         """Each id's token, as decode() prints it."""
         return [self.full.id_to_token(i) for i in range(self.full.get_vocab_size(with_added_tokens=True))]
