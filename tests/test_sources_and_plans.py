@@ -1,11 +1,12 @@
 from datetime import date, datetime
 from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell import schemas
-from tidewell.plans import catalogue
+from tidewell.plans import bindings, catalogue, parsed
 from tidewell.sources import feeds, markup
 from tidewell.streaming import queue
 
@@ -202,3 +203,14 @@ def test_streams(spark, tmp_path):
     fresh, new = queue.newer_than(df, "user_id", "event_id", marks)
     assert fresh.where("user_id = 0 and event_id <= 20").count() == 0 and fresh.where("user_id = 1").count() == 0
     assert {r.user_id: r.mark for r in new.collect()} == {0: max(r[0] for r in rows if r[1] == 0), 1: 99, 2: max(r[0] for r in rows if r[1] == 2)}
+
+
+def test_titles_read_equal_their_sql(spark, tmp_path):
+    """Entities that the SQL leaves, signs that look like tags, blanks of all kinds, several titles, none."""
+    titles = ["a &quot;b&quot; &#39;c&apos; &nbsp;d", "x <b>y</b> < z", "&amp;lt; &lt;b&gt;", " \t\n a\u00a0 \r\f b\x0b\u2003", "\u00a0\u3000", "\x0bq\u0085", "", "&ampquot;", "a&lt;/title&gt;b"]
+    html = [f"<html><title>{x}</title><title>2</title>" for x in titles] + ["<TITLE lang='x'>Up\n\nper</TiTle>", "<title>open", "", None, "<titles>s</title>"]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = sorted(duck.sql(bindings.SQL["titles_read"]).fetchall())
+    assert sorted(tuple(r) for r in parsed.titles_read(spark, str(tmp_path)).collect()) == want and len(want) == len(html)

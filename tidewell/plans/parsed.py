@@ -81,7 +81,7 @@ def links_read(spark, d):
 SELECT page_id, coalesce(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title FROM pages
 """)
 def titles_read(spark, d):
-    return t(spark, d, "pages").select("page_id", markup.page_title(F.col("html")).alias("title"))
+    return t(spark, d, "pages").select("page_id", markup.title_text(F.col("html")).alias("title"))
 
 
 @query("""
