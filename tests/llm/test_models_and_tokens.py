@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -234,3 +235,25 @@ def test_labels_held_out_are_told_apart(spark):
     seen, held = (auc([i for i in good if i in got and i % 2 == k]) for k in (0, 1))
     print("AUC", seen, held)
     assert held > 0.7 and abs(seen - held) < 0.15
+
+
+def test_lm_grams_take_little_memory(monkeypatch):
+    """Numbers of a batch take under 50 bytes a token while its grams are made and counted; counts are those of all places."""
+    rng = np.random.default_rng(0)
+    lengths = [0, 1, 400_000, *rng.integers(0, 600, 2000).tolist(), 0]
+    seq = np.concatenate([np.concatenate([[0], rng.zipf(1.3, n) % 50_000 + 1]) for n in lengths])
+    words = rng.integers(-(2**62), 2**62, 50_001)
+    tracemalloc.start()
+    grams = lm_score.Grams(words, seq, 204)
+    seen = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen < 50 * len(seq), seen / len(seq)
+    monkeypatch.setattr(lm_score, "SLICE", 1000)
+    runs = list(grams.slices())
+    assert [a for a, _ in runs] == [0, *(b for _, b in runs[:-1])] and runs[-1][1] == len(lengths)
+    assert all(b - a == 1 or sum(lengths[a:b]) + b - a <= 1000 for a, b in runs)
+    docs = rng.random(len(lengths)) < 0.5
+    picked = docs[np.cumsum(seq == 0) - 1]
+    pairs, pair = np.unique((seq[:-1] << 32 | seq[1:])[seq[1:] != 0], return_inverse=True)
+    want = np.concatenate([np.bincount(seq[picked], minlength=len(words)), np.bincount(pair[picked[1:][seq[1:] != 0]], minlength=len(pairs))])
+    assert (grams.counts(docs) == want[grams.order]).all()
