@@ -74,6 +74,24 @@ def test_pages_outside_the_window_are_not_read(spark, folder):
         pages.read_pages(spark, "hdfs://x/y").count()
 
 
+def test_tasks_grow_with_items_not_with_pages(spark, folder):
+    """3,000 pages of few items: a window needs few folders and few tasks, and gives the rows of its pages only."""
+    start = F.date_format(F.timestamp_seconds(F.col("id") * 60), "yyyy-MM-dd'T'HH:mm:ss")
+    rows = spark.range(9000, numPartitions=6).select((F.col("id") / 3).cast("int").alias("page"), start.alias("start"), "id")
+    pages.write_pages(rows, f"{folder}/p", "page", "start", 100)
+    path = __import__("pathlib").Path(folder[7:])
+    assert sorted(int(x.name[5:]) for x in path.glob("p/page=*")) == list(range(0, 3000, 100)) and len(list(path.glob("p/page=*/part*"))) == 30
+    for gone in (0, 2900):
+        (p,) = path.glob(f"p/page={gone}/part*")
+        p.write_text("{broken")
+    got = pages.read_pages(spark, f"{folder}/p", "1970-01-01T10:30:00", "1970-01-06T00:00:00")
+    assert got.rdd.getNumPartitions() <= 30
+    kept = got.select("page", "position", F.from_json("item", "id long")["id"].alias("id")).collect()
+    assert sorted((r.id, r.page, r.position) for r in kept) == [(i, i // 3, i % 3) for i in range(630, 7200)]
+    assert {r.page for r in pages.read_pages(spark, f"{folder}/p", "1970-01-01T10:30:00", most=150).collect()} == set(range(210, 360))
+    assert pages.total(spark, f"{folder}/p").first().total == 9000
+
+
 def test_page_with_total(spark):
     got = rank.page_with_total(spark.range(45), [F.asc("id")], 2).collect()
     assert [tuple(r) for r in got] == [(i, 45) for i in range(40, 45)]

@@ -47,7 +47,7 @@ def cover_density(spark, d):
 
 SINCE, UNTIL = "2024-01-04T12:00:00", "2024-01-20T00:00:00"
 _VENUES, _PATTERNS = ["hall 3"], ["secret"]
-PAGE = 200
+PAGE, TOGETHER = 200, 100
 
 
 def _event_pages(spark, d):
@@ -57,10 +57,11 @@ def _event_pages(spark, d):
     k = F.col("event_id") % 10
     name = F.struct(F.when(k < 5, F.concat(F.lit("Event "), F.col("event_id").cast("string"))).alias("en"), F.when(k.between(3, 7), F.lit("Tapahtuma")).alias("fi"), F.when(k == 8, F.lit("secret Händelse")).otherwise("").alias("sv"))
     items = e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("start"), "event_id", F.when(F.col("event_type") == "error", "EventCancelled").otherwise("EventScheduled").alias("event_status"), F.when(F.col("event_type") == "click", "Course").otherwise("General").alias("type_id"), name.alias("name"), F.struct(say(F.concat(F.lit("Hall "), (F.col("user_id") % 7).cast("string"))).alias("name")).alias("location"), say(F.lit("")).alias("short_description"), say(F.lit("")).alias("description"))
-    # A day's pages take its events in order of an hour's bucket, so that a page is bounded and its window narrow.
+    # A day's pages take its events in order of an hour's bucket, so that a page is bounded and its window narrow; up to TOGETHER
+    # pages of a day share a folder.
     day, n = F.datediff(F.to_date("start"), F.lit("2024-01-01")), F.expr(f"event_id div {PAGE}")
     folder = shared(spark)
-    pages.write_pages(items.withColumn("page", day * 1_000_000 + n), folder, "page", "start")
+    pages.write_pages(items.withColumn("page", day * 1_000_000 + n), folder, "page", "start", TOGETHER)
     return folder
 
 

@@ -1,8 +1,12 @@
-"""A paged interface as a Spark data source: one partition a page, pages outside a date window are never read.
+"""A paged interface as a Spark data source: folders whose pages all lie outside a date window are never read, and other
+pages outside it give no rows.
 
-Each page is a JSON document `{"meta": {"count": ...}, "data": [...]}`, in a folder `page=N` (as Spark writes partitions)
-that all executors mount, and `index` holds a JSON line a page: page, first, last (the earliest and latest start in it)
-and n. Only the index is read to plan. Rows are (page, position, start, item), items as JSON text that Spark parses.
+Each page is a JSON document `{"meta": {"count": ..., "page": ...}, "data": [...]}` on a line, in a folder `page=N` (as Spark
+writes partitions) that all executors mount, alone or with the next few pages (N is the first number that the folder may
+hold); and `index` holds a JSON line a page: page, at (its folder's N), first, last (the earliest and latest start in it)
+and n. Only the index is read to plan: a partition is some whole folders, ITEMS items about, but fewer as long as there are
+less than SPREAD partitions. So tasks grow with the items, not with the pages, and a task holds one folder at a time. Rows are
+(page, position, start, item), items as JSON text that Spark parses.
 
     spark.dataSource.register(Pages)
     spark.read.format("pages").option("maxPages", "30").load(folder).where("start >= '2024-01-05'")
@@ -24,6 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 
+ITEMS, SPREAD = 20_000, 48
+
+
 def _local(path: str) -> str:
     at = urlparse(path)
     if at.scheme not in ("", "file"):
@@ -39,8 +46,8 @@ def _lines(folder: str) -> Iterator[str]:
 
 
 @dataclass
-class Page(InputPartition):
-    number: int
+class Folders(InputPartition):
+    pages: dict[int, set[int]]  # by folder
 
 
 class Reader(DataSourceReader):
@@ -61,21 +68,36 @@ class Reader(DataSourceReader):
                     self.high = bound if self.high is None else min(self.high, bound, key=lambda b: (b[0], b[1]))
             yield f  # Spark applies them again: pages hold other rows, too
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Folders]:
         def within(p: dict) -> bool:
             late = self.low is None or p["last"] > self.low[0] or (p["last"] == self.low[0] and self.low[1])
             early = self.high is None or p["first"] < self.high[0] or (p["first"] == self.high[0] and self.high[1])
             return late and early
 
-        pages = sorted(p["page"] for p in map(json.loads, _lines(f"{self.folder}/index")) if p.get("first") is not None and within(p))
-        return [Page(n) for n in (pages if self.most is None else pages[: self.most])] or [Page(-1)]
-
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        if partition.number < 0:
-            return
-        items = [x for line in _lines(f"{self.folder}/page={partition.number}") for x in json.loads(line)["data"]]
-        columns = [pa.array([partition.number] * len(items), pa.int32()), pa.array(range(len(items)), pa.int32()), pa.array([x.get(self.start) for x in items], pa.string()), pa.array([json.dumps(x, ensure_ascii=False) for x in items], pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["page", "position", "start", "item"])
+        pages = sorted((p["page"], p.get("at", p["page"]), p["n"]) for p in map(json.loads, _lines(f"{self.folder}/index")) if p.get("first") is not None and within(p))
+        pages = pages if self.most is None else pages[: self.most]
+        most = min(ITEMS, sum(n for *_, n in pages) / SPREAD)
+        out, items = [Folders({})], 0
+        for page, at, n in sorted(pages, key=lambda p: p[1]):
+            if items >= most and at not in out[-1].pages:
+                out.append(Folders({}))
+                items = 0
+            out[-1].pages.setdefault(at, set()).add(page)
+            items += n
+        return out
+
+    def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
+        for at, wanted in partition.pages.items():
+            numbers, places, starts, items = [], [], [], []
+            for page in map(json.loads, _lines(f"{self.folder}/page={at}")):
+                number = page["meta"].get("page", at)
+                if number in wanted:
+                    numbers += [number] * len(page["data"])
+                    places += range(len(page["data"]))
+                    starts += [x.get(self.start) for x in page["data"]]
+                    items += [json.dumps(x, ensure_ascii=False) for x in page["data"]]
+            columns = [pa.array(numbers, pa.int32()), pa.array(places, pa.int32()), pa.array(starts, pa.string()), pa.array(items, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["page", "position", "start", "item"])
 
 
 class Pages(DataSource):
@@ -106,11 +128,14 @@ def total(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("page long, n long").json(f"{folder}/index").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
 
 
-def write_pages(rows: DataFrame, folder: str, page: str, start: str) -> None:
-    """rows as pages: page numbers, which the caller has dealt so that a page is small, and the items' other columns."""
+def write_pages(rows: DataFrame, folder: str, page: str, start: str, together: int = 1) -> None:
+    """rows as pages: page numbers, which the caller has dealt so that a page is small, and the items' other columns. Of numbers
+    from a multiple of `together` on, so many share a folder: as many pages must be no large one, either."""
     item = F.struct(*(c for c in rows.columns if c != page))
-    made = rows.groupBy(page).agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count("*").alias("n"), F.array_sort(F.collect_list(item)).alias("data"))
-    body = F.to_json(F.struct(F.struct(F.col("n").alias("count")).alias("meta"), F.col("data")))
-    made.select(F.col(page).alias("page"), body.alias("value")).write.partitionBy("page").text(folder)
-    index = rows.groupBy(F.col(page).alias("page")).agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count("*").alias("n"))
+    number = F.col(page)
+    dealt = rows.select(number.alias("page"), (number - F.pmod(number, F.lit(together))).alias("at"), F.col(start).alias("start"), item.alias("item"))
+    made = dealt.repartition("at").groupBy("at", "page").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("item")).alias("data"))
+    body = F.to_json(F.struct(F.struct(F.col("n").alias("count"), "page").alias("meta"), F.col("data")))
+    made.select(F.col("at").alias("page"), body.alias("value")).write.partitionBy("page").text(folder)
+    index = dealt.groupBy("page", "at").agg(F.min("start").alias("first"), F.max("start").alias("last"), F.count("*").alias("n"))
     index.write.json(f"{folder}/index")
