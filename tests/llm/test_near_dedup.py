@@ -113,3 +113,22 @@ def test_recall_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     data = [(x.doc_id, x.text) for x in docs.collect()]
     assert sorted(x.doc_id for x in near_dedup.keep_one(docs).collect()) == brute(data)
+
+
+def test_operator_4_searches_first(spark):
+    """Without any bucket of minima in common: fingerprints within the radius are found by operator 4's search, and linked only if
+    the whole sets are alike."""
+    r = random.Random(10)
+    base = " ".join(r.choices([f"w{i}" for i in range(3000)], k=600))
+    texts = [base, base + " end", base + " end", " ".join(r.choices([f"v{i}" for i in range(3000)], k=600)), changed(r, base, 60), "one two"]
+    assert all(simhash.majority(near_dedup.all_shingles(t)) == simhash.simhash(t, 5) for t in [*texts, "", None, "a b c d e f"])
+    prints = [simhash.simhash(t, 5) for t in texts]
+    prints[3] = prints[0]  # by accident
+    assert 0 < (prints[0] ^ prints[1]).bit_count() <= simhash.RADIUS < (prints[0] ^ prints[4]).bit_count()
+    sets = {i: near_dedup.shingles(t) for i, t in enumerate(texts) if i != 2}
+    nodes = [(near_dedup.node(h), str(i), len(h), [1000 * i + k for k in range(near_dedup.BANDS)], prints[i] - (prints[i] >> 63 << 64)) for i, h in sets.items()]
+    made = spark.createDataFrame(nodes, f"node long, key string, n long, bands array<long>, {simhash.FP} long")
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, text string")
+    root = {x.node: x.root for x in near_dedup.link_components(docs, made, 5, 0.8).collect()}
+    names = [root[n[0]] for n in nodes]
+    assert names[0] == names[1] and len(set(names)) == 4 and len(names) == 5

@@ -1,10 +1,14 @@
 """SimHash near-dedup at a shingle similarity: the pipeline's form of operator 4 (`simhash.py`).
 
 Two texts are alike if the sets of their word shingles have a Jaccard similarity of at least `likeness`; alike texts
-share a component. Words are split and lower-cased as in `simhash`. At 0.8, fingerprints of 64 bits differ in 10 bits on
-average and in up to 20, and no table of segment balls finds such pairs at a bearable cost: so here fingerprints are
-WIDE bits, their tables are keyed by bands of minima (MinHash, BANDS of ROWS) in place of segments, table matches are
-verified by complete Hamming distance within the join, and what passes by the exact similarity of the whole sets.
+share a component. Words are split and lower-cased as in `simhash`.
+
+First comes operator 4's own search: SimHash fingerprints of 64 bits over these shingles, its segments and balls, table
+matches within RADIUS bits verified by complete distances, and components of them. Texts of such a component are a bucket,
+whose members the exact similarity of their whole sets then links or leaves apart. But at 0.8, fingerprints of 64 bits
+differ in 10 bits on average and in up to 20, and no table of segment balls finds such pairs at a bearable cost: for those
+beyond the radius there are further buckets, by bands of minima (MinHash, BANDS of ROWS), whose pairs are verified by complete
+Hamming distances of WIDE bits, and what passes by the exact similarity, too.
 
 What can be missed: a pair at 0.8 shares no band with a chance of (1 - 0.8^5)^40 = 1.2e-7, and lies beyond the distance
 bound, DEVIATIONS over the mean, with one of 3e-6; a likelier pair with less. Sets of under SMALL shingles
@@ -34,8 +38,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import numbered, written
 from .components import components, lookup
+from .simhash import FP, RADIUS
 
 SHINGLE, LIKENESS, BANDS, ROWS, SEED = 5, 0.8, 40, 5, 42
 #: Bits of a fingerprint, and the size of a set from which its distances are judged.
@@ -49,15 +55,20 @@ _MIX = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), np.u
 _LANES = np.random.default_rng(SEED + 1).integers(0, 2**64, (2, WIDE // 64), np.uint64) | np.array([[0], [1]], np.uint64)
 
 
-def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
+def all_shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # splits at \x20 and \x09-\x0D, lowers A-Z
     if not words:
         return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate([len(w) + 1 for w in words]))
     k, digest = min(shingle, len(words)), xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[s : e - 1], SEED) for s, e in zip([0, *ends], ends[k - 1 :])], np.uint64))
+    return np.array([digest(joined[s : e - 1], SEED) for s, e in zip([0, *ends], ends[k - 1 :])], np.uint64)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(all_shingles(text, shingle))
 
 
 def node(hashes: np.ndarray) -> int:
@@ -170,9 +181,14 @@ def _meeting(members: DataFrame) -> DataFrame:
 
 
 def link_components(texts: DataFrame, nodes: DataFrame, shingle: int, likeness: float) -> DataFrame:
-    """texts: (key, text). nodes: one row a set (node, key, n, bands), written. -> (node, root) for every node."""
+    """texts: (key, text). nodes: one row a set (node, key, n, bands, FP), written. -> (node, root) for every node."""
     near = lambda n, m: F.least(n, m) >= likeness * F.greatest(n, m) - 1e-9
-    put = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
+    # Operator 4's components are one more band, behind those of minima.
+    some = nodes.where("n > 0").select("node", "n", FP)
+    prints = written(some.groupBy(FP).agg(F.count("*").alias("weight")), "distinct")
+    roots = written(prints.join(simhash.link_components(prints.select(FP), RADIUS), FP), "roots")
+    searched = lookup(some, roots, FP, some.count()).select("node", "n", F.lit(BANDS).alias("band"), F.xxhash64(F.lit(BANDS), "root").alias("bucket"))
+    put = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket")).unionByName(searched)
     several = put.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
     put = written(put.join(several, "bucket", "left_semi").select("node", "n", "band", "bucket", F.col("node").alias("c")), "buckets")
 
@@ -189,7 +205,7 @@ def link_components(texts: DataFrame, nodes: DataFrame, shingle: int, likeness:
 
     first, members = None, put
     for order in range(ROUNDS + 1):
-        bands_ = range(CHAINED) if not order else range(CHAINED + (order - 1) * (BANDS - CHAINED) // ROUNDS, CHAINED + order * (BANDS - CHAINED) // ROUNDS)
+        bands_ = [BANDS, *range(CHAINED)] if not order else range(CHAINED + (order - 1) * (BANDS - CHAINED) // ROUNDS, CHAINED + order * (BANDS - CHAINED) // ROUNDS)
         pairs = _neighbours(members.where(F.col("band").isin(*bands_)), order, AHEAD, likeness)
         seen = Observation()
         linked = written(_alike(pairs, sets, likeness).observe(seen, F.count(F.lit(1)).alias("n")), "links")
@@ -232,14 +248,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingles(x, shingle) for x in batch.column(1).to_pylist()]
+            every = [all_shingles(x, shingle) for x in batch.column(1).to_pylist()]
+            prints = pa.array(np.array([simhash.majority(h) for h in every], np.uint64).view(np.int64))
+            made = [np.unique(h) for h in every]
             cols = [pa.array([node(h) for h in made], pa.int64()), pa.array([len(h) for h in made], pa.int64()), pa.array([bands(h).view(np.int64) for h in made], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, prints], ["id", "node", "n", "bands", FP])
 
-    made = narrow.mapInArrow(minima, f"id {kind}, node long, n long, bands array<long>")
+    made = narrow.mapInArrow(minima, f"id {kind}, node long, n long, bands array<long>, {FP} long")
     # Beside each set: the smallest id that has it, and how many rows.
-    nodes = made.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("s"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = written(nodes.select("node", "s.none", "s.id", _key(F.col("s.id")).alias("key"), "rows", "n", "bands"), "minhashes")
+    nodes = made.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("s"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(FP).alias(FP))
+    nodes = written(nodes.select("node", "s.none", "s.id", _key(F.col("s.id")).alias("key"), "rows", "n", "bands", FP), "minhashes")
     roots = link_components(narrow.select(_key(F.col("id")).alias("key"), "text"), nodes, shingle, likeness)
     first = nodes.select("node", "none", "id").join(roots, "node").groupBy("root").agg(F.min(F.struct("none", "id", "node")).alias("s"))
     stay = written(first.select(F.col("s.node").alias("node"), _key(F.col("s.id")).alias("key")), "representatives")

@@ -56,6 +56,14 @@ def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of the hashes of a text's shingles, as `simhash` takes it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs and its fingerprint FP, as a signed long."""
     names = docs.columns
