@@ -1,10 +1,11 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewell.llm import near_dedup, simhash
+from tidewell.llm import components, near_dedup, simhash
 
 SCHEMA = "doc_id long, text string, lang string, __tw_k string"
 
@@ -132,3 +133,51 @@ def test_operator_4_searches_first(spark):
     root = {x.node: x.root for x in near_dedup.link_components(docs, made, 5, 0.8).collect()}
     names = [root[n[0]] for n in nodes]
     assert names[0] == names[1] and len(set(names)) == 4 and len(names) == 5
+
+
+def test_small_graphs_take_few_tasks(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(components, "written", lambda df, name, f=components.written: made.append(f(df, name)) or made[-1])
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = components.components(spark.range(600).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, out)) == [(i, 0) for i in range(601)]
+    assert len(made) > 3 and all(len(x.inputFiles()) <= 2 for x in made[1:])  # 40 files a round, without a bound
+
+
+def test_hot_keys_are_dealt_by_their_salt(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, -1).otherwise(F.col("id")).alias("c"), F.col("id").alias("x"))
+    table = rows.groupBy("c").agg(F.count("*").alias("weight")).withColumn("v", 2 * F.col("c"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = components.lookup(rows, table, "c", 4000)
+        assert "hashpartitioning(c#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and re.search(r"hashpartitioning\(c#\w+, salt#", plan)
+        expected = sorted((i if i >= 3000 else -1, i, 2 * i if i >= 3000 else -2) for i in range(4000))
+        assert sorted(map(tuple, out.collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(tuple, components.lookup(rows, table, "c", 4000, 1001).collect())) == expected
+
+
+def test_small_buckets_are_compared_without_blocks(spark, monkeypatch):
+    r = random.Random(11)
+    base = " ".join(r.choice("abcdefgh") + str(r.randrange(300)) for _ in range(120))
+    members = []
+    for i in range(30):
+        h = near_dedup.shingles(changed(r, base, 1) if i < 20 else changed(r, base, 60))
+        members.append((7 + i % 2, 40, i, len(h), i // 3, near_dedup.fingerprint(h).tolist(), [100 * i + k for k in range(40)], 0, 15))
+    df = spark.createDataFrame(members, "bucket long, band int, node long, n long, c long, fp array<long>, bands array<long>, most long, size long")
+    made, pairs = [], {}
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, f=near_dedup.written: made.append(f(df, name)) or made[-1])
+    for block in (4, 256):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        pairs[block] = {tuple(sorted(x)) for x in near_dedup._close_pairs(df, 0.8).select("a", "b").collect()}
+    assert pairs[4] == pairs[256] and len(pairs[256]) > 50
+    assert made[0].count() > 4 and made[1].count() == 0  # a block each for most and the others, and a join of all with all

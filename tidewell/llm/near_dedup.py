@@ -19,7 +19,7 @@ round after round in other orders, but only where components still meet in a buc
 a member of a large group of near copies meets a few others a round, and is of their component once one is alike.
 What is left apart then is compared in full by distance, but for pairs within the component that has most of a bucket: so
 the pairs of a large group are neither put out nor gone through, only those of its bucket's members that no round could
-join. Those are compared in blocks of some hundred members, a row a pair of blocks, and only close pairs come out. Orders are sorted ranges, which cut a large bucket. Texts are read again for the
+join. Those are compared in blocks of some hundred members, a row a pair of blocks (a smaller bucket: one row), and only close pairs come out. Orders are sorted ranges, which cut a large bucket. Texts are read again for the
 nodes that share a bucket and for the rows that stay, by joins on the id whose kind Spark chooses.
 
 Cases: null counts as empty; texts without words are one group; with fewer words than a shingle, the whole sequence is
@@ -39,8 +39,8 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import numbered, written
-from .components import components, lookup
+from .common import bucketed, numbered, written
+from .components import FEW, components, lookup
 from .simhash import FP, RADIUS
 
 SHINGLE, LIKENESS, BANDS, ROWS, SEED = 5, 0.8, 40, 5, 42
@@ -145,8 +145,12 @@ def _close_pairs(members: DataFrame, likeness: float) -> DataFrame:
     """(a, b, c, d): pairs of members (bucket, band, node, n, c, fp, bands, and of their bucket most and size) of different
     components c and d, whose sizes and fingerprints allow that they are alike, each from the first bucket that it shares.
     Blocks of members of most are compared with others only: two of them are of one component."""
+    member = F.struct("node", "n", "c", "fp", "bands")
+    # A bucket of a block or less is one row, with itself and without a join.
+    single = members.where(F.col("size") <= BLOCK).groupBy("bucket").agg(F.first("band").alias("band"), F.first("most").alias("most"), F.collect_list(member).alias("y"))
+    single = single.select(F.filter("y", lambda s: s["c"] != F.col("most")).alias("x"), "y", "band")
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
-    blocks = members.groupBy("bucket", (F.col("c") == F.col("most")).alias("of_most"), block.alias("block")).agg(F.first("band").alias("band"), F.collect_list(F.struct("node", "n", "c", "fp", "bands")).alias("x"))
+    blocks = members.where(F.col("size") > BLOCK).groupBy("bucket", (F.col("c") == F.col("most")).alias("of_most"), block.alias("block")).agg(F.first("band").alias("band"), F.collect_list(member).alias("x"))
     blocks = written(blocks, "blocks")
     other = blocks.select(F.col("bucket").alias("same"), F.col("of_most").alias("m"), F.col("block").alias("k"), F.col("x").alias("y"))
     bound = farthest(likeness)
@@ -171,7 +175,7 @@ def _close_pairs(members: DataFrame, likeness: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], ["a", "b", "c", "d"])
 
     both = blocks.where("NOT of_most").join(other, (F.col("bucket") == F.col("same")) & (F.col("m") | (F.col("block") <= F.col("k"))))
-    return both.select("x", "y", "band").mapInArrow(compare, "a long, b long, c long, d long")
+    return both.select("x", "y", "band").unionByName(single).mapInArrow(compare, "a long, b long, c long, d long")
 
 
 def _meeting(members: DataFrame) -> DataFrame:
@@ -201,7 +205,8 @@ def link_components(texts: DataFrame, nodes: DataFrame, shingle: int, likeness:
 
     longs = pa.list_(pa.int64())
     sets = texts.join(wanted.select("key").distinct(), "key", "left_semi").select("text").mapInArrow(sets_of, "node long, set array<long>, fp array<long>")
-    sets = written(sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"), F.first("fp").alias("fp")), "sets")
+    # They are joined by node again and again.
+    sets = bucketed(sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"), F.first("fp").alias("fp")), "node", "sets")
 
     first, members = None, put
     for order in range(ROUNDS + 1):
@@ -214,8 +219,10 @@ def link_components(texts: DataFrame, nodes: DataFrame, shingle: int, likeness:
             names = members.select("node", "c").distinct()
             of = lambda x, y: names.select(F.col("node").alias(x), F.col("c").alias(y))  # noqa: B023, E731
             merged = components(linked.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-            sizes = members.groupBy("c").agg(F.count("*").alias("weight")).join(merged.withColumnRenamed("node", "c"), "c")
-            renamed = lookup(members, sizes, "c", members.count())
+            named, most = merged.withColumnRenamed("node", "c"), 2 * seen.get["n"]
+            if most > FEW:
+                named = members.groupBy("c").agg(F.count("*").alias("weight")).join(named, "c")
+            renamed = lookup(members, named, "c", members.count(), most)
             members = renamed.select("node", "n", "band", "bucket", F.coalesce("root", "c").alias("c"))
             first = merged if first is None else first.unionByName(merged)
         elif order:
